@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,23 +10,15 @@ from pyspark.sql import functions as F
 
 from starlens.functions import fixed_values as fv
 
-# Word separators, as Unicode defines white space, outside what the pattern below covers.
-WIDE_SPACES = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
-    chr(c) for c in range(0x2000, 0x200B)
-)
-WORD_RUN = r"[^\s\x0B\x1C-\x1F]+"
-ASCII_WORD = "[a-z]+"
-
-
-def plain_spaces(text: Column) -> Column:
-    """Wide white space as blanks. A text with one byte per character has none to replace."""
-    replaced = F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(replaced)
+# A word as Python's str.split() sees it: a run free of Unicode white space and of the four
+# separator controls.
+WORD_RUN = r"(?U)[\S&&[^\x1C-\x1F]]+"
+NOT_A_LETTER = "[^a-z]+"
 
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
-    return F.coalesce(F.regexp_count(plain_spaces(text), F.lit(WORD_RUN)), F.lit(0)).cast("int")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_RUN)), F.lit(0)).cast("int")
 
 
 def char_length(text: Column) -> Column:
@@ -34,10 +26,6 @@ def char_length(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("int")
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | ~plain_spaces(text).rlike(WORD_RUN)
-
-
 def text_digest(text: Column) -> Column:
     """32-byte identity of a text: group on this instead of shuffling the text itself.
 
@@ -48,18 +36,13 @@ def text_digest(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """ASCII letter runs of the lower-cased text, in order, repeats kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD), F.lit(0))
-
+    # a text that starts or ends with another character yields an empty first or last piece
+    return F.array_remove(F.split(F.lower(text), NOT_A_LETTER), "")
 
-def keyword_tokens(text: Column, stop_words: Iterable[str] = fv.STOP_WORDS) -> Column:
-    """Tokens longer than three letters that are no stop words.
 
-    A maximal run of four or more letters is the same as "token with length > 3", so the
-    regular expression drops the short ones before an array element is built for them.
-    """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))
-    stop = [w for w in stop_words if len(w) > 3]
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+def long_tokens(text: Column) -> Column:
+    """Tokens of more than three letters: the pattern drops the others before they are built."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))
 
 
 def contains_any(lowered: Column, phrases: Sequence[str]) -> Column:
@@ -92,32 +75,37 @@ def modifier_table(intensifiers=None, negations=None, negation_factor=fv.NEGATIO
     return table
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def polarity(text: Column, lexicon=None, modifiers=None) -> Column:
     """Mean score of the opinion words of a text, in [-1, 1]; 0.0 when there is none.
 
-    The score of an opinion word is its lexicon value times the factor of the word just
-    before it. Written with array functions, so a review is scored inside its own row: no
-    explode, no shuffle, and it works unchanged on a stream.
+    The score of an opinion word is its lexicon value times the factor of the token just before
+    it. Written with array functions, so a review is scored inside its own row: no explode, no
+    shuffle, and it works unchanged on a stream.
     """
     lexicon = fv.POLARITY_WORDS if lexicon is None else lexicon
     modifiers = modifier_table() if modifiers is None else modifiers
     opinion = [w for words in lexicon.values() for w in words]
 
-    def scores_of(words: Column) -> Column:
-        places = F.filter(
-            F.transform(words, lambda w, i: F.when(w.isin(opinion), i)), lambda i: i.isNotNull()
-        )
-        return F.transform(
-            places,
-            lambda i: _lookup(F.get(words, i), lexicon)
-            * F.coalesce(_lookup(F.get(words, i - 1), modifiers), F.lit(1.0)),
-        )
-
-    # the one-element array binds the token list to a name, so it is built once per row
-    scores = F.transform(F.array(tokens(text)), scores_of)[0]
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))
-    return F.when(F.size(scores) > 0, bounded).otherwise(F.lit(0.0))
+    def hits(words: Column) -> Column:
+        """The opinion words with the token before each. The second array is one longer, which
+        only adds a last pair without a word."""
+        before = F.concat(F.array(F.lit(None).cast("string")), words)
+        return F.filter(F.arrays_zip(words.alias("word"), before.alias("before")), lambda p: p["word"].isin(opinion))
+
+    def score(hit: Column) -> Column:
+        return _lookup(hit["word"], lexicon) * F.coalesce(_lookup(hit["before"], modifiers), F.lit(1.0))
+
+    def mean(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0.0), lambda sum_, hit: sum_ + score(hit))
+        bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.size(found)))
+        return F.when(F.size(found) > 0, bounded).otherwise(F.lit(0.0))
+
+    return F.coalesce(_let(_let(tokens(text), hits), mean), F.lit(0.0))
 
 
 def quote_pattern(literal: str) -> str:

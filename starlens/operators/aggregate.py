@@ -143,10 +143,14 @@ def star_bands(df: DataFrame) -> DataFrame:
 
 def top_theme(counts: DataFrame, exclude: tuple[str, ...] = (fv.DEFAULT_THEME,)) -> DataFrame:
     """The most frequent theme per product; ``exclude=()`` lets the default theme win."""
-    kept = counts.where(~F.col("Review_Theme").isin(list(exclude))) if exclude else counts
+    # the exclusion stays inside the aggregate: as a filter it would be pushed down to the reviews
+    # and classify every text a second time
+    theme, n = F.col("Review_Theme"), F.col("n")
+    kept = ~theme.isin(list(exclude)) if exclude else F.lit(True)
     # equal counts: the theme that sorts first
-    best = F.min_by("Review_Theme", F.struct((-F.col("n")).alias("a"), F.col("Review_Theme").alias("b")))
-    return kept.groupBy("App").agg(best.alias("top_theme"), F.max("n").alias("theme_reviews"))
+    best = F.min(F.when(kept, F.struct((-n).alias("a"), theme.alias("b"))))
+    return counts.groupBy("App").agg(best.alias("t")).where("t IS NOT NULL").select(
+        "App", F.col("t.b").alias("top_theme"), (-F.col("t.a")).alias("theme_reviews"))
 
 
 def product_ranking(published: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     from the much smaller table of distinct values.
     """
     counts = Q.value_counts(Q.stacked(df, columns), ["column"])
-    edges = counts.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # reading n here too makes both uses of the counts alike, so they share one shuffle
+    edges = counts.groupBy("column").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total")).where("total > 0")
     # one row per column of the schema
     binned = counts.join(F.broadcast(edges), "column").select(
         "column", _bin_of(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"), "n"
@@ -84,10 +86,10 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     cum = Q.cumulative(counts, [key], value)
     boxes = cum.groupBy(key).agg(*[Q.quantile_of(p, value).alias(name) for name, p in Q.QUARTILES],
                                  F.max("total").alias("n_rows"))
-    # boxes has one row per group; the joined side is the table of distinct values
+    # one row per box of the plot, joined to the distinct values
     reach = F.lit(1.5) * (F.col("q75") - F.col("q25"))
     inside = (F.col(value) >= F.col("q25") - reach) & (F.col(value) <= F.col("q75") + reach)
-    return cum.join(boxes, key).groupBy(key).agg(
+    return cum.join(F.broadcast(boxes), key).groupBy(key).agg(
         F.first("n_rows").alias("n_rows"),
         rounded(F.first("q25")).alias("q25"),
         rounded(F.first("q50")).alias("q50"),

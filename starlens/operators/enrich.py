@@ -58,11 +58,11 @@ def opinion_hits(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame) -> Dat
     matched before anything is shuffled when the lexicon is small enough to be broadcast
     (Spark decides from its size).
     """
-    pairs = F.transform(F.array(tx.tokens(F.col("Review_Text"))), lambda ws: F.transform(
-        ws, lambda w, i: F.struct(w.alias("word"), F.get(ws, i - 1).alias("before"))))[0]
+    words = F.col("_words")
+    before = F.concat(F.array(F.lit(None).cast("string")), words)  # one longer: its last pair has no word
     found = (
-        df.select("review_id", "App", F.explode(pairs).alias("_t"))
-        .select("review_id", "App", "_t.word", "_t.before")
+        df.select("review_id", "App", tx.tokens(F.col("Review_Text")).alias("_words"))
+        .select("review_id", "App", F.inline(F.arrays_zip(words.alias("word"), before.alias("before"))))
         .join(lexicon, "word")
     )
     factors = modifiers.withColumnRenamed("word", "before")

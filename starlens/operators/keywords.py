@@ -25,7 +25,8 @@ def keyword_counts(df: DataFrame, stop_words=fv.STOP_WORDS) -> DataFrame:
     """(App, polarity, word, n) over reviews with 4-5 stars (positive) and 1-2 (negative)."""
     words = (
         df.select("App", star_band().alias("polarity"), "Review_Text").where("polarity IS NOT NULL")
-        .select("App", "polarity", F.explode(tx.keyword_tokens(F.col("Review_Text"), stop_words)).alias("word"))
+        .select("App", "polarity", F.explode(tx.long_tokens(F.col("Review_Text"))).alias("word"))
+        .where(~F.col("word").isin(list(stop_words)))
     )
     return words.groupBy("App", "polarity", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -59,7 +60,20 @@ def cloud_weights(cloud: DataFrame) -> DataFrame:
         F.round(F.lit(0.55) + share * 0.45, 6).alias("opacity"))
 
 
+def first_words(top: DataFrame, **lists: tuple[str, int]) -> DataFrame:
+    """(App, one column per name): the first k words of a side as one comma-separated string.
+
+    ``lists`` maps a column name to (polarity, k); all columns come from one pass over ``top``.
+    """
+    def column(name, polarity, k):
+        return F.expr(
+            f"listagg(CASE WHEN polarity = '{polarity}' AND rank <= {int(k)} THEN word END, ', ') "
+            "WITHIN GROUP (ORDER BY rank)").alias(name)
+
+    return top.groupBy("App").agg(*[column(name, polarity, k) for name, (polarity, k) in lists.items()])
+
+
 def keyword_prefix(top: DataFrame, k: int) -> DataFrame:
-    """The first k words of each list as one comma-separated string."""
+    """(App, polarity, words): the first k words of every list."""
     return top.where(F.col("rank") <= k).groupBy("App", "polarity").agg(
         F.expr("listagg(word, ', ') WITHIN GROUP (ORDER BY rank)").alias("words"))

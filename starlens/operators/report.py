@@ -33,14 +33,10 @@ def kpi_cards(rollup: DataFrame) -> DataFrame:
     return rollup.select("App", F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
 
 
-def _words(top: DataFrame, polarity: str, k: int, name: str) -> DataFrame:
-    return K.keyword_prefix(top.where(F.col("polarity") == polarity), k).select("App", F.col("words").alias(name))
-
-
 def leader_card(published: DataFrame, top: DataFrame, k: int = 6) -> DataFrame:
     """The best rated product with its KPIs and first k positive keywords."""
     leader = A.product_ranking(published).where("rank = 1")
-    return leader.join(_words(top, "positive", k, "users_say"), "App", "left").select(
+    return leader.join(K.first_words(top, users_say=("positive", k)), "App", "left").select(
         fm.product_label(F.col("App")).alias("product"), fm.fixed(F.col("avg_star"), 2).alias("rating"),
         fm.fixed(F.col("avg_sentiment"), 3).alias("sentiment"),
         fm.thousands(F.col("total_reviews")).alias("reviews"), "users_say")
@@ -48,7 +44,7 @@ def leader_card(published: DataFrame, top: DataFrame, k: int = 6) -> DataFrame:
 
 def concern_rows(published: DataFrame, top: DataFrame, k: int = 3) -> DataFrame:
     """First k negative keywords per product."""
-    return published.select("App").join(_words(top, "negative", k, "concerns"), "App", "left").select(
+    return published.select("App").join(K.first_words(top, concerns=("negative", k)), "App", "left").select(
         fm.product_label(F.col("App")).alias("product"), "concerns")
 
 
@@ -57,10 +53,9 @@ def context_lines(published: DataFrame, counts: DataFrame, top: DataFrame) -> Da
     theme = A.top_theme(counts, exclude=())
     themes = counts.groupBy("App").agg(
         F.expr("listagg(concat(Review_Theme, ': ', n), ', ') WITHIN GROUP (ORDER BY n DESC, Review_Theme)").alias("themes"))
-    rows = published.join(theme, "App", "left").join(themes, "App", "left")
-    for side in ("positive", "negative"):
-        for k in (5, 6):
-            rows = rows.join(_words(top, side, k, f"{side}{k}"), "App", "left")
+    first = K.first_words(top, positive5=("positive", 5), negative5=("negative", 5),
+                          positive6=("positive", 6), negative6=("negative", 6))
+    rows = published.join(theme, "App", "left").join(themes, "App", "left").join(first, "App", "left")
     label = fm.product_label(F.col("App"))
     star2, star_dev = fm.fixed(F.col("avg_star"), 2), fm.fixed(F.col("std_dev"), 2)
     mood, n = fm.fixed(F.col("avg_sentiment"), 3), fm.thousands(F.col("total_reviews"))

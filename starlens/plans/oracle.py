@@ -429,7 +429,8 @@ def build() -> dict[str, str]:
     q["stream_new_only"] = b + "SELECT review_id, App FROM reviews WHERE Review_Date > TIMESTAMP '2024-01-20'"
     q["stream_enrich"] = s + f"SELECT r.review_id, coalesce({rnd('polarity')}, 0.0::DOUBLE) AS Sentiment_Polarity, Review_Theme FROM themed r LEFT JOIN score s ON s.review_id = r.review_id"
     q["stream_daily"] = f"WITH {DAILY}\nSELECT * FROM daily WHERE CAST(day AS DATE) + 1 <= (SELECT max(Review_Date) - INTERVAL 1 DAY FROM reviews)"
-    q["stream_monthly"] = b + f"SELECT App, strftime(Review_Date, '%Y-%m') AS month, {SERIES} FROM reviews GROUP BY ALL"
+    closed = "date_trunc('day', Review_Date) + INTERVAL 1 DAY <= (SELECT max(Review_Date) - INTERVAL 1 DAY FROM reviews)"
+    q["stream_monthly"] = b + f"SELECT App, strftime(Review_Date, '%Y-%m') AS month, {SERIES} FROM reviews WHERE {closed} GROUP BY ALL"
     q["quarantine"] = b + "SELECT CASE WHEN Thumbs_Up_Count % 50 = 0 THEN 'malformed' ELSE 'no id' END AS reason, count(*) AS n FROM reviews WHERE Thumbs_Up_Count % 50 IN (0, 1) GROUP BY 1"
     q["incremental_refresh"] = f"WITH {DAILY}\nSELECT * FROM daily"
     return q

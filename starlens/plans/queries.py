@@ -726,7 +726,7 @@ def _run(spark, stream, name):
 
 @query
 def stream_ingest(spark, sf):
-    rows = J.ingested(J.raw_stream(spark, _landed(spark, sf), max_files=2), "2024-01-01 00:00:00", "2024-01-25 00:00:00")
+    rows = J.ingested(J.raw_stream(spark, _landed(spark, sf), max_files=16), "2024-01-01 00:00:00", "2024-01-25 00:00:00")
     return _run(spark, rows, "ingested").select("review_id", "App", _at(), "Star_Rating", "Word_Count")
 
 
@@ -757,8 +757,7 @@ def stream_daily(spark, sf):
 
 @query
 def stream_monthly(spark, sf):
-    name = "monthly_" + work_path(spark, "m").rsplit("-", 1)[1]
-    return J.run_in_memory(J.monthly_totals(_event_stream(spark, sf)), name, work_path(spark, "monthly_log"), "complete")
+    return A.monthly_from_daily(_run(spark, J.daily_windows(_event_stream(spark, sf)), "daily_parts"))
 
 
 @query

@@ -11,16 +11,16 @@ from starlens.operators import aggregate as A
 from starlens.operators import keywords as K
 
 
-def _ordered_map(order, key, value):
+def _ordered_map(order, key, value, keep=None):
     """A map whose JSON entries follow ``order``."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), key.alias("k"), value.alias("v"))))
+    entry = F.struct(order.alias("o"), key.alias("k"), value.alias("v"))
+    rows = F.array_sort(F.collect_list(entry if keep is None else F.when(keep, entry)))
     return F.map_from_entries(F.transform(rows, lambda r: F.struct(r["k"], r["v"])))
 
 
-def _samples(df: DataFrame, side: str, name: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("rank", "star", "text")))
-    return df.where(F.col("side") == side).groupBy("App").agg(
-        F.transform(rows, lambda r: F.struct(r["star"].alias("star"), r["text"].alias("text"))).alias(name))
+def _samples(side):
+    rows = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "star", "text"))))
+    return F.transform(rows, lambda r: F.struct(r["star"].alias("star"), r["text"].alias("text")))
 
 
 def _series(series: DataFrame, bucket: str, name: str) -> DataFrame:
@@ -45,12 +45,13 @@ def insights_document(reviews: DataFrame) -> DataFrame:
                      F.col("Review_Theme"), F.col("n")).alias("Theme_Counts")), "App", "left")
     per_app = per_app.join(stars.groupBy("App").agg(
         _ordered_map(F.col("star"), F.col("star").cast("string"), F.col("n")).alias("Rating_Distribution")), "App", "left")
-    for side, name in (("positive", "Keywords_Positive"), ("negative", "Keywords_Negative")):
-        words = top.where(F.col("polarity") == side).groupBy("App").agg(
-            _ordered_map(F.col("rank"), F.col("word"), F.col("n")).alias(name))
-        per_app = per_app.join(words, "App", "left")
-    per_app = per_app.join(_samples(samples, "negative", "Sample_Reviews_Neg"), "App", "left")
-    per_app = per_app.join(_samples(samples, "positive", "Sample_Reviews_Pos"), "App", "left")
+    def words(side):
+        return _ordered_map(F.col("rank"), F.col("word"), F.col("n"), F.col("polarity") == side)
+
+    per_app = per_app.join(top.groupBy("App").agg(
+        words("positive").alias("Keywords_Positive"), words("negative").alias("Keywords_Negative")), "App", "left")
+    per_app = per_app.join(samples.groupBy("App").agg(
+        _samples("negative").alias("Sample_Reviews_Neg"), _samples("positive").alias("Sample_Reviews_Pos")), "App", "left")
 
     daily_parts = A.series_parts(reviews, dates.day_key(F.col("Review_Date")), "day")
     daily = _series(A.series_from_parts(daily_parts, "day"), "day", "dates")
