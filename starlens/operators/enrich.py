@@ -34,6 +34,15 @@ def backfill(df: DataFrame, rules=None, lexicon=None, modifiers=None) -> DataFra
     })
 
 
+def backfill_to(df: DataFrame, new_path: str) -> int:
+    """Write the back-filled table as a new version and give the number of rows that were filled;
+    with none to fill nothing is written."""
+    to_fill = missing_report(df).first()["missing_rows"]
+    if to_fill:
+        backfill(df).write.mode("errorifexists").partitionBy("App").parquet(new_path)
+    return to_fill
+
+
 def with_theme(df: DataFrame, rules=None) -> DataFrame:
     return df.withColumn("Review_Theme", F.coalesce("Review_Theme", tx.theme(F.col("Review_Text"), rules)))
 

@@ -43,8 +43,7 @@ def distinct_counts(df: DataFrame, long_text: tuple[str, ...] = ("Review_Text",)
         return F.sha2(value, 256) if c in long_text else value
 
     cells = F.array(*[F.struct(F.lit(c).alias("column"), identity(c).alias("v")) for c in df.columns])
-    pairs = df.select(F.inline(cells)).groupBy("column", "v").agg(F.lit(1).alias("one"))
-    return pairs.groupBy("column").agg(F.count("v").alias("distinct"))
+    return df.select(F.inline(cells)).distinct().groupBy("column").agg(F.count("v").alias("distinct"))
 
 
 def approx_distinct_counts(df: DataFrame) -> DataFrame:

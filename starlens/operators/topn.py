@@ -14,11 +14,11 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
             rank: str = "rank") -> DataFrame:
     """Rows ranked 1..n in each group of ``keys`` under the total order ``order``.
 
-    A product may own a third of all rows, so ranking it in one task is not an option. Rows
-    are ranked first within (group, salt), the salt being the input partition, and only the
-    first n of each go on; further rounds merge salts FAN_IN at a time. No task ever sees more
-    than its own input partition, or FAN_IN * n rows of a group. For small n Spark also cuts
-    each map task to n rows per group before the shuffle (WindowGroupLimit).
+    A product may own a third of all rows, so ranking it in one task is not an option. Rows are
+    ranked first within (group, salt), the salt coming from the input partition, so a hot group is
+    spread over all shuffle partitions; only the first n of each go on. Further rounds merge the
+    salts FAN_IN at a time, at most FAN_IN * n rows of a group to a task. For n up to 1000 Spark
+    also cuts each map task to n rows per (group, salt) before the shuffle (WindowGroupLimit).
     """
     salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = df.withColumn("_salt", F.spark_partition_id() % salts)

@@ -14,12 +14,19 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+BUILD_CONF = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # stream state outgrows executor heaps
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def build_session(master: str | None = None, app_name: str = "starlens", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true", **RUNTIME_CONF, **conf}
+    settings = {**BUILD_CONF, **RUNTIME_CONF, **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

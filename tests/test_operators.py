@@ -16,6 +16,7 @@ from starlens.operators import (
     keywords as K, quantiles as Q,
 )
 from starlens.operators.topn import first_n
+from starlens.session import work_path
 
 START = dt.datetime(2026, 4, 1)
 REVIEW = ("review_id string, App string, Review_Date timestamp, Star_Rating int, Review_Text string, "
@@ -214,6 +215,15 @@ def test_backfill_is_idempotent_and_keeps_values(spark):
     assert (report["total_rows"], report["missing_rows"]) == (2, 0)
 
 
+def test_nothing_is_written_when_nothing_is_missing(spark):
+    path = work_path(spark, "filled")
+    df = reviews(spark, [review("a", text="terrible", polarity=None), review("b")])
+    assert E.backfill_to(df, path) == 1
+    filled = spark.read.schema(df.schema).parquet(path)
+    assert E.backfill_to(filled, work_path(spark, "never")) == 0
+    assert filled.where("review_id = 'a'").first()["Sentiment_Polarity"] == -1.0
+
+
 def test_metrics_are_observed_without_another_pass(spark):
     seen = Observation("batch")
     df = I.observed(reviews(spark, [review("a", theme=None), review("b")]), seen)
