@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlens.functions import text as tx
 from starlens.functions.formatting import rounded
 from starlens.operators import quantiles as Q
 

@@ -134,3 +134,16 @@ def test_text_free_queries_do_not_read_documents(spark, sf_dir):
 
     plan = QUERIES["overview"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "ReadSchema: struct<event_id:bigint,event_type:string,props:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["dedup_keep_last", "top50_negative", "keywords_topk", "sample_reviews", "new_reviews_anti"])
+def test_groups_are_cut_before_the_shuffle(spark, sf_dir, name):
+    from starlens.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
+
+
+def test_back_filling_does_not_shuffle(spark):
+    df = reviews(spark, [review("a", polarity=None, theme=None)])
+    assert "Exchange" not in E.backfill(df)._jdf.queryExecution().executedPlan().toString()

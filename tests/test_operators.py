@@ -129,7 +129,9 @@ def test_bootstrap_interval_is_near_the_normal_one_and_repeatable(spark, skewed)
 
 # duplicates ---------------------------------------------------------------------------------------
 
-def test_duplicate_rows_with_a_hot_text(spark, skewed):
+@pytest.mark.parametrize("hot_share", [1000, 2, 1])  # many hot texts, one, none
+def test_duplicate_rows_with_a_hot_text(spark, skewed, monkeypatch, hot_share):
+    monkeypatch.setattr(U, "HOT_SHARE", hot_share)
     got = sorted(r["review_id"] for r in U.duplicate_rows(reviews(spark, skewed)).collect())
     frame = pd.DataFrame(skewed).rename(columns={0: "id", 4: "text"})
     want = sorted(frame[frame.duplicated(subset=["text"], keep=False)]["id"])
