@@ -61,22 +61,22 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     (id, copy) and sorted by it within a partition: files hold random parts in random order.
     """
     rate = rates(docs, weights, power, epochs, source_column, text_column).where(F.col("rate") > 0) \
-        .select(F.col("source").alias("_source"), "rate", cumulative(F.col("rate")).alias("_cdf"))
+        .select(F.col("source").alias("_mix_source"), "rate", cumulative(F.col("rate")).alias("_mix_cdf"))
     docs = docs.drop("copy", "rate", "shuffle_key")
-    here = F.col(source_column).eqNullSafe(F.col("_source"))
+    here = F.col(source_column).eqNullSafe(F.col("_mix_source"))
     few = rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
         joined = docs.join(F.broadcast(rate), here)
     else:
         # a source may hold a third of all rows: its rate is repeated for every salt
-        salted = rate.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_row_salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int")) \
-            .join(salted, here & (F.col("_row_salt") == F.col("_salt"))).drop("_row_salt", "_salt")
+        salted = rate.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn("_mix_row_salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int")) \
+            .join(salted, here & (F.col("_mix_row_salt") == F.col("_mix_salt"))).drop("_mix_row_salt", "_mix_salt")
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(f"{seed}:"), key))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = joined.withColumn("_u", u).withColumn("_n", count).where(F.col("_n") > 0) \
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_source", "_cdf", "_u", "_n")
+    count = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
+    drawn = joined.withColumn("_mix_u", u).withColumn("_mix_n", count).where(F.col("_mix_n") > 0) \
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_n")
     mixed = drawn.withColumn("shuffle_key", F.substring(F.md5(F.concat(F.lit(f"{seed}#"), key, F.lit("#"), F.col("copy").cast("string"))), 1, 16))
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

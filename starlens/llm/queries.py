@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import mixing, packing, quality, sharding, tokenfiles
+from starlens.llm import language, mixing, orderhash, packing, quality, sharding, simhash, suffixes, tokenfiles, toxicity
 from starlens.llm.common import documents
 from starlens.session import work_path
 
@@ -18,28 +18,54 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.removed(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predicted(docs, language.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "spans")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = work_path(spark, "tokens")
     tokenfiles.write_tokens(documents(spark, sf_dir), target)
     return tokenfiles.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.against_next(documents(spark, sf_dir))
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("rate")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_quality_rules, op6_token_files, op8_extendible_sharding, op10_poisson_mixing)}
+    op1_best_fit_packing, op2_simhash_near_duplicates, op3_quality_rules, op4_suffix_array_dedup, op5_language_id,
+    op6_token_files, op7_ordinal_toxicity, op8_extendible_sharding, op9_order_minhash, op10_poisson_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.rules_sql(), "op8_extendible_sharding": sharding.shards_sql(), "op10_poisson_mixing": mixing.mix_sql()}
+    return {"op3_quality_rules": quality.rules_sql(), "op4_suffix_array_dedup": suffixes.removed_sql(),
+            "op8_extendible_sharding": sharding.shards_sql(), "op10_poisson_mixing": mixing.mix_sql()}

@@ -73,11 +73,11 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, id_column: str = "doc_id",
 
 
 def assigned(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Rows with ``_bits`` and the leaf that their leading bits lead to; one join per depth in use is not
-    needed, since a row looks up all depths at once by (depth, prefix)."""
+    """Rows with ``_bits`` and the leaf that their leading bits lead to, looked up at all depths in use at once."""
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1
-    if len(depths) == 1:
-        tried = rows.withColumn("depth", F.lit(depths[0])).withColumn("prefix", _prefix(depths[0]))
+    if len(depths) < 2:
+        only = depths[0] if depths else 0
+        tried = rows.withColumn("depth", F.lit(only)).withColumn("prefix", _prefix(only))
     else:
         tried = rows.withColumn("_depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("prefix", _prefix(F.col("_depth"))).withColumnRenamed("_depth", "depth")
     label = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))

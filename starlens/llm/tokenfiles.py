@@ -188,7 +188,7 @@ def _decode(blocks: DataFrame, wanted: set[int] | None = None) -> DataFrame:
 
 def _blocks(spark: SparkSession, target: str) -> DataFrame:
     """Blocks with ``start``, the ids before them: a running sum over one small row per block."""
-    blocks = spark.read.parquet(target)
+    blocks = spark.read.schema(BLOCK).parquet(target)
     places = blocks.select("shard", "block", (F.sum("n_ids").over(Window.orderBy("shard", "block")) - F.col("n_ids")).alias("start"))
     return blocks.join(places, ["shard", "block"])
 
