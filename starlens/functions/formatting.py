@@ -32,7 +32,8 @@ def thousands(value: Column) -> Column:
 
 
 def percent(part: Column, whole: Column, places: int = 1) -> Column:
-    return rounded(F.lit(100.0) * part / whole, places)
+    """``part`` of ``whole``; null of nothing."""
+    return rounded(F.try_divide(F.lit(100.0) * part, whole), places)
 
 
 def product_label(app: Column) -> Column:

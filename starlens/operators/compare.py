@@ -15,25 +15,29 @@ METRICS = ["total_reviews", "avg_star", "avg_sentiment", "std_dev", "five_star_p
 def product_cards(df: DataFrame, exclude=(fv.DEFAULT_THEME,)) -> DataFrame:
     """One row of KPIs per product: overview, shares of the extremes, top theme.
 
-    One pass over the reviews: theme counts are kept per product in the same aggregation.
+    Reviews are added up per product and theme, whatever themes are stored, and these few rows per
+    product: one shuffle of sums, one of the sums of sums. Star sums are whole numbers, so the
+    variance from them is exact.
     """
-    star, n = F.col("Star_Rating"), F.count(F.lit(1))
-    excluded = list(exclude)
-    themes = [t for t in fv.THEMES if t not in excluded]
-    counts = F.array(*[
-        F.struct((-F.count_if(F.col("Review_Theme") == t)).alias("neg_n"), F.lit(t).alias("theme")) for t in themes
-    ])
-    wide = df.groupBy("App").agg(
-        n.alias("total_reviews"),
-        A.mean(star).alias("avg_star"),
-        A.mean(F.col("Sentiment_Polarity")).alias("avg_sentiment"),
-        A.rounded(F.stddev_samp("Star_Rating")).alias("std_dev"),
-        A.percent(F.count_if(star == 5), n).alias("five_star_pct"),
-        A.percent(F.count_if(star == 1), n).alias("one_star_pct"),
-        F.array_min(counts).alias("_best"),
-    )
-    return wide.select(*METRICS[:-1], "App",
-                       F.when(F.col("_best.neg_n") < 0, F.col("_best.theme")).alias("top_pain_point"))
+    star = F.col("Star_Rating").cast("double")
+    per_theme = df.groupBy("App", "Review_Theme").agg(
+        F.count(F.lit(1)).alias("n"), F.count(star).alias("n_star"), F.sum(star).alias("sum_star"), F.sum(star * star).alias("sum_square"),
+        F.sum("Sentiment_Polarity").alias("sum_sentiment"), F.count("Sentiment_Polarity").alias("n_sentiment"),
+        F.count_if(star == 5).alias("five"), F.count_if(star == 1).alias("one"))
+    counted = F.col("Review_Theme").isNotNull() & ~F.coalesce(F.col("Review_Theme").isin(list(exclude)), F.lit(False))
+    sums = per_theme.groupBy("App").agg(
+        *[F.sum(c).alias(c) for c in per_theme.columns[2:]],
+        F.min(F.when(counted, F.struct((-F.col("n")).alias("neg_n"), F.col("Review_Theme").alias("theme")))).alias("_best"))
+    mean = F.try_divide(F.col("sum_star"), F.col("n_star"))
+    variance = F.try_divide(F.col("sum_square") - F.col("sum_star") * mean, F.col("n_star") - 1)
+    return sums.select(
+        F.col("n").alias("total_reviews"),
+        A.rounded(mean).alias("avg_star"),
+        A.rounded(F.try_divide(F.col("sum_sentiment"), F.col("n_sentiment"))).alias("avg_sentiment"),
+        A.rounded(F.when(F.col("n_star") > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))).alias("std_dev"),
+        A.percent(F.col("five"), F.col("n")).alias("five_star_pct"),
+        A.percent(F.col("one"), F.col("n")).alias("one_star_pct"),
+        "App", F.col("_best.theme").alias("top_pain_point"))
 
 
 def _side_by_side(cards: DataFrame, key: str, values: list, names: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from starlens.functions.formatting import rounded
 from starlens.operators import quantiles as Q
 
 NUMERIC = ["Star_Rating", "Word_Count", "Review_Length_Chars", "Thumbs_Up_Count", "Sentiment_Polarity"]
+REACH = 9.0
 
 
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -58,8 +59,9 @@ def histogram_log(df: DataFrame, column: str = "Thumbs_Up_Count", bins: int = 50
 def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid over min..max, Scott's bandwidth.
 
-    Each distinct value adds to every grid point; map tasks combine, so at most ``points``
-    rows per task are shuffled.
+    A distinct value adds to the grid points within REACH bandwidths, beyond which its share is
+    below a double's last digit; map tasks combine, so at most ``points`` rows per task are
+    shuffled. A column without spread has no density: no rows.
     """
     counts = Q.value_counts(df.select(F.col(column).cast("double").alias("value")), [])
     stats = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL").agg(
@@ -68,16 +70,23 @@ def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     ).select(F.struct(
         "low", "high", "total",
         (F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("bandwidth"),
+        ((F.col("high") - F.col("low")) / F.lit(float(points - 1))).alias("step"),
     ).alias("s"))
-    placed = counts.withColumn("s", stats.scalar()).select(
-        "value", "n", "s.*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / F.lit(float(points - 1))
+    spread = counts.withColumn("s", stats.scalar()).select("value", "n", "s.*").where("bandwidth > 0")
+    reach = F.lit(REACH) * F.col("bandwidth")
+    first = F.greatest(F.ceil((F.col("value") - reach - F.col("low")) / F.col("step")), F.lit(0))
+    last = F.least(F.floor((F.col("value") + reach - F.col("low")) / F.col("step")), F.lit(points - 1))
+    near = spread.withColumn("point", F.explode(F.sequence(first, last)))
+    # points that no value reaches
+    spine = stats.select("s.*").where("bandwidth > 0").select(
+        F.lit(None).cast("double").alias("value"), F.lit(0).cast("bigint").alias("n"), "*",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point"))
+    x = F.col("low") + F.col("point") * F.col("step")
     z = (x - F.col("value")) / F.col("bandwidth")
     norm = F.col("total") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
-    return placed.groupBy("point").agg(
-        rounded(F.first(x), 6).alias("x"),
-        rounded(F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z) / norm), 6).alias("density"),
-    )
+    share = F.coalesce(F.col("n") * F.exp(F.lit(-0.5) * z * z) / norm, F.lit(0.0))
+    return near.unionByName(spine).groupBy(F.col("point").cast("int").alias("point")).agg(
+        rounded(F.first(x), 6).alias("x"), rounded(F.sum(share), 6).alias("density"))
 
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -86,10 +95,9 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     cum = Q.cumulative(counts, [key], value)
     boxes = cum.groupBy(key).agg(*[Q.quantile_of(p, value).alias(name) for name, p in Q.QUARTILES],
                                  F.max("total").alias("n_rows"))
-    # one row per box of the plot, joined to the distinct values
     reach = F.lit(1.5) * (F.col("q75") - F.col("q25"))
     inside = (F.col(value) >= F.col("q25") - reach) & (F.col(value) <= F.col("q75") + reach)
-    return cum.join(F.broadcast(boxes), key).groupBy(key).agg(
+    return cum.join(boxes, key).groupBy(key).agg(
         F.first("n_rows").alias("n_rows"),
         rounded(F.first("q25")).alias("q25"),
         rounded(F.first("q50")).alias("q50"),

@@ -32,7 +32,7 @@ def time_window(df: DataFrame, after, until=None, at: str = "Review_Date") -> Da
     return df.where(dates.in_window(F.col(at), after, until))
 
 
-def newest_n(df: DataFrame, n: int = fv.FETCH_CAP) -> DataFrame:
+def newest_n(df: DataFrame, n: int) -> DataFrame:
     """The newest n reviews of each product, as the store feed delivers them."""
     order = [F.col("Review_Date").desc_nulls_last(), F.col("review_id").asc()]
     return first_n(df, ["App"], order, n)
@@ -54,8 +54,8 @@ def split_bad_ids(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_ids(df: DataFrame) -> DataFrame:
-    """One row per id inside a batch: the newest."""
-    order = [F.col("Review_Date").desc_nulls_last(), F.col("App"), F.col("Star_Rating")]
+    """One row per id inside a batch: the newest; a digest of the whole row decides between rows alike so far."""
+    order = [F.col("Review_Date").desc_nulls_last(), F.col("App"), F.col("Star_Rating"), F.xxhash64(*df.columns)]
     return first_one(df, ["review_id"], order)
 
 

@@ -28,7 +28,8 @@ def mean_bootstrap_interval(df: DataFrame, keys: Sequence[str], value: str, repl
 
     A row resampled by Poisson(1) weights, added over the n rows that share a value, is one
     Poisson(n) draw, so the draws run over distinct values instead of rows. A batch adds up its
-    draws, so it emits one row per (group, replica).
+    draws, so it emits one row per (group, replica). A replica of a small group in which no row is
+    drawn has no mean and is left out.
     """
     keys = list(keys)
     counts = Q.value_counts(df.select(*keys, F.col(value).cast("double").alias("value")), keys)
@@ -50,7 +51,7 @@ def mean_bootstrap_interval(df: DataFrame, keys: Sequence[str], value: str, repl
 
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
     drawn = seeded.mapInPandas(draw, f"{key_schema}, replica long, w double, wx double")
-    means = drawn.groupBy(*keys, "replica").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    means = drawn.groupBy(*keys, "replica").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     # ``replicas`` rows per group
     interval = means.groupBy(*keys).agg(
         F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))

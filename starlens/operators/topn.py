@@ -27,7 +27,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
         out = out.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
         if salts == 1:
             return out.drop("_salt")
-        salts = max(1, salts // FAN_IN)
+        salts = max(1, -(-salts // FAN_IN))
         out = out.withColumn("_salt", F.col("_salt") % salts).drop(rank)
 
 

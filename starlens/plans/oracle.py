@@ -5,22 +5,10 @@ Word and rule lists come from ``fixed_values``; everything else is stated here o
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from starlens.functions import fixed_values as fv
 from starlens.sources.testtables import PHRASES
 
 
-def _spark_english_stop_words() -> list[str]:
-    """Spark's own English list, read from its jar: the SQL is built without a session."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -236,6 +224,7 @@ def document_rows() -> str:
     """Every number and text of the insights document as rows."""
     return "WITH " + THEMED + "," + WORDS[len(TEXT) + 1:] + "," + SAMPLES[len(TEXT) + 1:] + f""",
 tc AS (SELECT App, Review_Theme, count(*) AS n FROM themed GROUP BY ALL)
+SELECT App, section, "key", CAST(place AS INTEGER) AS place, value FROM (
 SELECT App, 'total' AS section, 'Total_Reviews' AS "key", 1 AS place, CAST(count(*) AS VARCHAR) AS value FROM reviews GROUP BY App
 UNION ALL SELECT App, 'theme', Review_Theme, row_number() OVER (PARTITION BY App ORDER BY n DESC, Review_Theme), CAST(n AS VARCHAR) FROM tc
 UNION ALL SELECT App, 'rating', CAST(star AS VARCHAR), star, CAST(count(*) FILTER (Star_Rating = star) AS VARCHAR) FROM reviews, range(1, 6) t(star) GROUP BY App, star
@@ -244,7 +233,7 @@ UNION ALL SELECT App, 'sample_' || side, CAST(star AS VARCHAR), rank, text FROM
 UNION ALL SELECT App, 'daily', day, row_number() OVER (PARTITION BY App ORDER BY day), CAST(n AS VARCHAR)
   FROM (SELECT App, strftime(Review_Date, '%Y-%m-%d') AS day, count(Star_Rating) AS n FROM reviews GROUP BY ALL)
 UNION ALL SELECT App, 'monthly', month, row_number() OVER (PARTITION BY App ORDER BY month), CAST(n AS VARCHAR)
-  FROM (SELECT App, strftime(Review_Date, '%Y-%m') AS month, count(Star_Rating) AS n FROM reviews GROUP BY ALL)"""
+  FROM (SELECT App, strftime(Review_Date, '%Y-%m') AS month, count(Star_Rating) AS n FROM reviews GROUP BY ALL))"""
 
 
 def build() -> dict[str, str]:
@@ -260,7 +249,7 @@ def build() -> dict[str, str]:
     q["append_reviews"] = t + "SELECT App, count(*) AS n, CAST(sum(Word_Count) AS BIGINT) AS words, CAST(sum(Review_Length_Chars) AS BIGINT) AS chars FROM full_reviews GROUP BY App"
     q["rewrite_reviews"] = th + "SELECT App, Review_Theme, count(*) AS n, CAST(0 AS BIGINT) AS still_missing FROM themed GROUP BY ALL"
     q["insights_explode"] = document_rows()
-    q["watermark_state"] = b + f", mark AS (SELECT max(Review_Date) AS m FROM reviews WHERE Review_Date > TIMESTAMP '2024-01-10' AND Review_Date <= TIMESTAMP '2024-01-20') SELECT {sec('(SELECT m FROM mark)')} AS last_run, count(*) AS rows_after FROM reviews WHERE Review_Date > (SELECT m FROM mark)"
+    q["watermark_state"] = b + f", mark AS (SELECT max(Review_Date) AS m FROM reviews WHERE Review_Date > TIMESTAMP '2024-01-10' AND Review_Date <= TIMESTAMP '2024-01-20') SELECT count(*) AS rows_after, {sec('(SELECT m FROM mark)')} AS last_run FROM reviews WHERE Review_Date > (SELECT m FROM mark)"
     q["batch_metrics"] = b + "SELECT d.App, count(r.review_id) AS added FROM (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('signup'), ('view')) d(App) LEFT JOIN reviews r ON r.App = d.App AND r.Review_Date > TIMESTAMP '2024-01-20' GROUP BY d.App"
     q["dim_product_join"] = b + """SELECT r.App, n AS total_reviews, p AS package_id, coalesce(c, '#666') AS colour FROM (SELECT App, count(*) AS n FROM reviews GROUP BY App) r
       LEFT JOIN (VALUES ('click', 'store.click', '#10a37f'), ('error', 'store.error', '#d97757'), ('purchase', 'store.purchase', '#4285f4'), ('signup', 'store.signup', '#0078d4'), ('refund', 'store.refund', NULL)) d(App, p, c) ON d.App = r.App"""
@@ -415,7 +404,7 @@ def build() -> dict[str, str]:
     # classification
     q["ml_dataset"] = t + "SELECT review_id AS id, coalesce(Review_Text, '') AS text, CASE WHEN Star_Rating >= 4 THEN 1 ELSE 0 END AS label FROM texted"
     q["ml_split"] = f"WITH {LABELLED} SELECT id, label, is_test FROM labelled"
-    stop = ", ".join(lit(x) for x in _spark_english_stop_words())
+    stop = ", ".join(lit(x) for x in fv.ENGLISH_STOP_WORDS)
     q["ml_idf"] = f"""WITH {LABELLED}, train AS (SELECT * FROM labelled WHERE NOT is_test),
       wd AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM train),
       g AS (SELECT word, count(*) AS term_count, count(DISTINCT id) AS df FROM wd WHERE word NOT IN ({stop}) GROUP BY word ORDER BY term_count DESC, word LIMIT 5000)
@@ -428,9 +417,11 @@ def build() -> dict[str, str]:
     q["stream_dedup"] = b + "SELECT review_id, App, Star_Rating FROM reviews"
     q["stream_new_only"] = b + "SELECT review_id, App FROM reviews WHERE Review_Date > TIMESTAMP '2024-01-20'"
     q["stream_enrich"] = s + f"SELECT r.review_id, coalesce({rnd('polarity')}, 0.0::DOUBLE) AS Sentiment_Polarity, Review_Theme FROM themed r LEFT JOIN score s ON s.review_id = r.review_id"
-    q["stream_daily"] = f"WITH {DAILY}\nSELECT * FROM daily WHERE CAST(day AS DATE) + 1 <= (SELECT max(Review_Date) - INTERVAL 1 DAY FROM reviews)"
-    closed = "date_trunc('day', Review_Date) + INTERVAL 1 DAY <= (SELECT max(Review_Date) - INTERVAL 1 DAY FROM reviews)"
-    q["stream_monthly"] = b + f"SELECT App, strftime(Review_Date, '%Y-%m') AS month, {SERIES} FROM reviews WHERE {closed} GROUP BY ALL"
+    q["stream_daily"] = f"WITH {DAILY}\nSELECT * FROM daily"
+    q["stream_monthly"] = b + f"SELECT App, strftime(Review_Date, '%Y-%m') AS month, {SERIES} FROM reviews GROUP BY ALL"
+    q["stream_exact_ingest"] = t + f"SELECT review_id, App, {sec('Review_Date')} AS Review_Date, Star_Rating, Word_Count FROM full_reviews"
+    q["stream_ingest_metrics"] = b + "SELECT App, count(*) AS added FROM reviews GROUP BY App"
+    q["scan_reviews_window"] = b + f"SELECT review_id, App, {sec('Review_Date')} AS Review_Date, Star_Rating FROM reviews WHERE date_trunc('second', Review_Date) > TIMESTAMP '2024-01-10' AND date_trunc('second', Review_Date) <= TIMESTAMP '2024-01-20'"
     q["quarantine"] = b + "SELECT CASE WHEN Thumbs_Up_Count % 50 = 0 THEN 'malformed' ELSE 'no id' END AS reason, count(*) AS n FROM reviews WHERE Thumbs_Up_Count % 50 IN (0, 1) GROUP BY 1"
     q["incremental_refresh"] = f"WITH {DAILY}\nSELECT * FROM daily"
     return q

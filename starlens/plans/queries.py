@@ -81,6 +81,13 @@ def append_reviews(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("Word_Count").alias("words"), F.sum("Review_Length_Chars").alias("chars"))
 
 
+@query
+def scan_reviews_window(spark, sf):
+    path = work_path(spark, "stored")
+    S.append_reviews(_plain(spark, sf), path)
+    return S.scan_reviews(spark, path, "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("review_id", "App", _at(), "Star_Rating")
+
+
 @query
 def rewrite_reviews(spark, sf):
     path = work_path(spark, "reviews_v2")
@@ -708,7 +715,8 @@ def confusion_matrix(spark, sf):
 def _event_stream(spark, sf):
     """The events file as a stream of text-free reviews."""
     schema = T.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a pattern, since the table may be a file or a folder of files
+    events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     return T.reviews_from_events(events, None)
 
 
@@ -750,14 +758,40 @@ def stream_enrich(spark, sf):
         "review_id", fm.rounded(F.col("Sentiment_Polarity")).alias("Sentiment_Polarity"), "Review_Theme")
 
 
+def _published(spark, sf):
+    folder = work_path(spark, "daily")
+    J.publish_daily(_event_stream(spark, sf), folder, work_path(spark, "daily_log"))
+    return J.daily_parts(spark, folder)
+
+
 @query
 def stream_daily(spark, sf):
-    return _run(spark, J.daily_windows(_event_stream(spark, sf)), "daily").select("App", "day", "avg_sentiment", "avg_star", "n")
+    return A.series_from_parts(_published(spark, sf), "day")
 
 
 @query
 def stream_monthly(spark, sf):
-    return A.monthly_from_daily(_run(spark, J.daily_windows(_event_stream(spark, sf)), "daily_parts"))
+    return A.monthly_from_daily(_published(spark, sf))
+
+
+def _ingested_exactly(spark, sf):
+    """Every review is landed, some of them again."""
+    path, folder = _landed(spark, sf), work_path(spark, "exact")
+    S.land_raw(T.raw_payload(spark, sf).where(F.col("thumbsUpCount") % 3 == 0), path)
+    J.ingest_exact(J.raw_stream(spark, path, max_files=16), folder, work_path(spark, "exact_log"))
+    return folder
+
+
+@query
+def stream_exact_ingest(spark, sf):
+    stored = J.read_batches(spark, _ingested_exactly(spark, sf) + "/reviews", J.REVIEWS)
+    return stored.select("review_id", "App", _at(), "Star_Rating", "Word_Count")
+
+
+@query
+def stream_ingest_metrics(spark, sf):
+    metrics = J.ingest_metrics(spark, _ingested_exactly(spark, sf))
+    return metrics.groupBy("App").agg(F.sum("added").alias("added"))
 
 
 @query
@@ -778,8 +812,5 @@ def incremental_refresh(spark, sf):
     cut = F.lit("2024-01-20 12:00:00").cast("timestamp")
     path = work_path(spark, "daily_parts")
     G.parts_of(reviews.where(F.col("Review_Date") <= cut)).write.partitionBy("day").parquet(path)
-    stored = spark.read.schema("App string, sum_sentiment double, n_sentiment bigint, sum_star double, n bigint, day string").parquet(path)
-    batch = reviews.where(F.col("Review_Date") > cut)
-    _, changed = G.refresh(stored, batch)
-    untouched = A.series_from_parts(stored.join(G.touched_days(batch), "day", "left_anti"), "day")
-    return untouched.unionByName(changed)
+    G.store_refresh(spark, path, reviews.where(F.col("Review_Date") > cut))
+    return G.published(spark, path)

@@ -12,13 +12,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # stream state outgrows executor heaps
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 BUILD_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # stream state outgrows executor heaps
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -65,6 +65,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _work_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/starlens/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/starlens/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    java_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return java_path.getFileSystem(spark._jsc.hadoopConfiguration()), java_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, java_path = _file_system(spark, path)
+    return fs.exists(java_path)
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Remove all that ``work_path`` handed out to this application; call it when results are stored."""
+    fs, java_path = _file_system(spark, _work_folder(spark))
+    fs.delete(java_path, True)

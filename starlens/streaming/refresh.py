@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlens.functions import dates
 from starlens.operators import aggregate as A
 
+STORED = "App string, sum_sentiment double, n_sentiment bigint, sum_star double, n bigint, day string"
+
 
 def parts_of(batch: DataFrame) -> DataFrame:
     return A.series_parts(batch, dates.day_key(F.col("Review_Date")), "day")
@@ -24,11 +26,19 @@ def touched_days(batch: DataFrame) -> DataFrame:
 
 
 def refresh(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new parts of the touched days, their published series).
-
-    Write the first with partitionOverwriteMode=dynamic, partitioned by day, to a table other
-    than the one being read; untouched days keep their files.
-    """
+    """(new parts of the touched days, their published series)."""
     days = touched_days(batch)  # one row per calendar day
     changed = merge_parts(stored.join(days, "day", "left_semi"), batch)
     return changed, A.series_from_parts(changed, "day")
+
+
+def store_refresh(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Bring the stored parts (one folder per day) up to date. Only folders of touched days are
+    replaced, when the whole job has succeeded; a batch must be handed in once."""
+    stored = spark.read.schema(STORED).parquet(path)
+    changed, _ = refresh(stored, batch)
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    return A.series_from_parts(spark.read.schema(STORED).parquet(path), "day")

@@ -39,6 +39,17 @@ def sql_rows(con, sql):
     return sorted(names), _rows(names, rel.fetchall())
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def schema_difference(df, con, sql) -> str | None:
+    """None when columns, their order and their types agree."""
+    rel = con.sql(sql)
+    got = [(n, TYPES.get(t, t)) for n, t in df.dtypes]
+    want = list(zip(rel.columns, map(str, rel.types)))
+    return None if got == want else f"{got} != {want}"
+
+
 def difference(df, con, sql) -> str | None:
     """None when equal, else the first rows that differ."""
     got_names, got = spark_rows(df)

@@ -10,13 +10,14 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from starlens.session import build_session
+    from starlens.session import build_session, remove_work
 
     session = build_session("local[8]", "starlens-tests", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_work(session)
     session.stop()
 
 

@@ -94,20 +94,68 @@ def test_refresh_in_steps_equals_a_rebuild(spark, sf_dir):
     assert stepwise.count() == A.daily_series(df).count()
 
 
-def test_late_rows_are_dropped_and_days_close_with_the_watermark(spark):
+def test_every_day_is_published_and_late_rows_are_noted(spark):
     import datetime as dt
-    feed, out, log = (work_path(spark, n) for n in ("late", "late_out", "late_log"))
+    feed, folder, log = (work_path(spark, n) for n in ("late", "late_out", "late_log"))
 
     def arrive(*days):
         reviews(spark, [review(f"d{d}", at=dt.datetime(2026, 4, d, 12)) for d in days]).coalesce(1).write.mode("append").parquet(feed)
         stream = spark.readStream.schema(reviews(spark, [review("x")]).schema).parquet(feed)
-        J.run_available(J.daily_windows(stream), out, log)
+        J.publish_daily(stream, folder, log)
 
     arrive(1, 5)
-    arrive(2)  # behind the watermark of the first run
+    arrive(2, 4)  # one of them more than a day behind
     arrive(9)
-    days = sorted(r["day"] for r in spark.read.parquet(out).collect())
-    assert days == ["2026-04-01", "2026-04-05"]
+    days = {r["day"]: r["n"] for r in J.daily_parts(spark, folder).collect()}
+    assert days == {f"2026-04-0{d}": 1 for d in (1, 2, 4, 5, 9)}
+    assert [(r["day"], r["n"]) for r in J.late_days(spark, folder).collect()] == [("2026-04-02", 1)]
+
+
+def test_streams_read_a_table_stored_as_a_folder(spark, sf_dir, tmp_path):
+    from starlens.plans.queries import _event_stream
+
+    T.table(spark, sf_dir, "events").repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    out = work_path(spark, "folder")
+    J.run_available(_event_stream(spark, str(tmp_path)), out, work_path(spark, "folder_log"))
+    assert spark.read.parquet(out).count() == T.table(spark, sf_dir, "events").count()
+
+
+def test_exact_ingest_takes_an_id_once_over_batches_and_runs(spark):
+    feed, folder, log = (work_path(spark, n) for n in ("exact_feed", "exact", "exact_log"))
+    schema = "App string, reviewId string, `at` string, score int, content string, thumbsUpCount bigint, appVersion string"
+
+    def arrive(ids, day):
+        rows = [("A", i, f"2026-04-{day:02} 10:00:00", 5, f"text {i}", 0, None) for i in ids]
+        S.land_raw(spark.createDataFrame(rows, schema).coalesce(1), feed)
+        J.ingest_exact(J.raw_stream(spark, feed, max_files=1), folder, log)
+
+    arrive(["a", "b", "b", ""], 20)
+    arrive(["b", "c"], 2)  # older than what is stored
+    arrive(["a", "c"], 21)
+    stored = J.read_batches(spark, f"{folder}/reviews", J.REVIEWS)
+    assert sorted(r["review_id"] for r in stored.collect()) == ["a", "b", "c"]
+    assert [r["reason"] for r in J.read_batches(spark, f"{folder}/set_aside", J.SET_ASIDE).collect()] == ["no id"]
+    assert [(r["added"], r["total"]) for r in J.ingest_metrics(spark, folder).orderBy("batch").collect()] == [(2, 2), (1, 3)]
+
+
+def test_refresh_is_stored_and_keeps_other_days(spark, sf_dir):
+    df = T.reviews(spark, sf_dir, with_text=False)
+    path, cut = work_path(spark, "parts"), F.lit("2024-01-20 12:00:00").cast("timestamp")
+    G.parts_of(df.where(F.col("Review_Date") <= cut)).write.partitionBy("day").parquet(path)
+    G.store_refresh(spark, path, df.where(F.col("Review_Date") > cut))
+    assert G.published(spark, path).exceptAll(A.daily_series(df)).count() == 0
+    assert G.published(spark, path).count() == A.daily_series(df).count()
+
+
+def test_a_window_reads_its_months_only(spark):
+    import datetime as dt
+    path = work_path(spark, "months")
+    df = reviews(spark, [review(f"m{m}", at=dt.datetime(2026, m, 5)) for m in range(1, 7)])
+    full = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.S.REVIEWS])
+    S.append_reviews(full, path)
+    rows = S.scan_reviews(spark, path, "2026-02-10 00:00:00", "2026-04-30 00:00:00")
+    assert sorted(r["review_id"] for r in rows.collect()) == ["m3", "m4"]
+    assert "PartitionFilters: [isnotnull(Review_Month" in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_quarantine_takes_what_good_leaves(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from starlens.functions import dates
 from starlens.functions import formatting as fm
 from starlens.operators import (
-    aggregate as A, classify as C, distribution as D, duplicates as U, enrich as E, ingest as I, intervals as V,
+    aggregate as A, classify as C, compare as P, distribution as D, duplicates as U, enrich as E, ingest as I, intervals as V,
     keywords as K, quantiles as Q,
 )
 from starlens.operators.topn import first_n
@@ -326,3 +326,36 @@ def test_models_learn_an_obvious_rule(spark, kind):
     scored = [(r["label"], r["prediction"]) for r in out.collect()]
     assert 20 <= len(scored) <= 70
     assert all(a == b for a, b in scored)
+
+
+def test_bootstrap_of_tiny_groups(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 1), ("b", 3)], "App string, v int")
+    rows = {r["App"]: r for r in V.mean_bootstrap_interval(df, ["App"], "v", replicas=200).collect()}
+    assert rows["a"]["ci_low"] == rows["a"]["ci_high"] == 5.0
+    assert rows["b"]["ci_low"] == 1.0 and rows["b"]["ci_high"] == 3.0
+
+
+@pytest.mark.parametrize("values", [[], [2.0], [2.0, 2.0, None]])
+def test_a_column_without_spread_has_no_density(spark, values):
+    assert D.kde(spark.createDataFrame([(v,) for v in values], "v double"), "v", points=5).count() == 0
+
+
+def test_shares_of_nothing_are_null(spark):
+    df = reviews(spark, [review("a", polarity=None), review("b", app="B", polarity=0.0)])
+    assert {r["App"]: r["zero_pct"] for r in A.zero_share(df).collect()} == {"A": None, "B": 100.0}
+
+
+def test_cards_count_any_stored_theme(spark):
+    themes = ["Shipping", "Shipping", "Bugs/Performance", "General", "General", "General"]
+    df = reviews(spark, [review(f"r{i}", theme=t, star=1 + i % 5) for i, t in enumerate(themes)] + [review("x", app="B", theme=None)])
+    cards = {r["App"]: r for r in P.product_cards(df).collect()}
+    assert cards["A"]["top_pain_point"] == "Shipping" and cards["B"]["top_pain_point"] is None
+    overview = {r["App"]: r for r in A.overview(df).collect()}
+    for app, card in cards.items():
+        assert all(card[c] == overview[app][c] for c in ("total_reviews", "avg_star", "avg_sentiment", "std_dev"))
+
+
+def test_of_rows_alike_up_to_the_text_the_same_one_stays(spark):
+    rows = [review("r", text=t) for t in ("one", "two", "three")]
+    kept = {I.unique_ids(reviews(spark, order).repartition(n)).first()["Review_Text"] for order in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(kept) == 1

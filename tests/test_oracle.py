@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_module
-from compare import connect, difference
+from compare import connect, difference, schema_difference
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+from starlens.plans.oracle import build  # noqa: E402
+from starlens.plans.queries import QUERIES  # noqa: E402
+
+SQL = build()
 SLOW = {"ml_logreg_report"}  # its two halves are tested as ml_logreg and classification_report
 
 
@@ -19,13 +21,19 @@ def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_all_of_the_library_is_registered():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 5
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, sf_dir, con, name):
-    assert difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
+    df = QUERIES[name](spark, sf_dir)
+    assert schema_difference(df, con, SQL[name]) is None
+    assert difference(df, con, SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
