@@ -22,7 +22,7 @@ from starlens.llm.common import map_arrow
 
 #: Bytes of text per shard, and ids per block of a shard (a longer document makes a block of its own).
 SHARD_BYTES = 32 << 20
-BLOCK_IDS = 4 << 20
+BLOCK_IDS = 1 << 20
 #: Pairs replaced together in a round, how often one must occur, and the rounds.
 PAIRS, LEAST, ROUNDS = 4096, 16, 8
 BUCKETS = 20

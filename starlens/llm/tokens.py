@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 600_000
 #: Bytes of text encoded at a time (a longer text alone).
 SLICE_BYTES = 8 << 20
 #: Texts with a space next to other white space are cut by the slower rule.
