@@ -26,6 +26,7 @@ RADIUS = 3
 GROUPS = 6
 #: Fingerprints compared in one go; a cell with more is dealt in blocks, each pair of blocks a task.
 BLOCK = 4096
+SCANNED = 256
 EVEN = 0x5555555555555555
 
 
@@ -86,6 +87,23 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def runs_with_links(fps: np.ndarray, edges: np.ndarray, radius: int) -> np.ndarray:
+    """The runs (fps[edges[k]:edges[k + 1]]) to look for links in: all longer than SCANNED, and the shorter ones
+    that have one, found for all of them at once, distance by distance."""
+    codes, size = embedded(fps), np.diff(edges)
+    run = np.repeat(np.arange(len(size)), size)
+    found = size > SCANNED
+    here = np.flatnonzero(~found[run])
+    last = edges[run + 1]
+    for step in range(1, SCANNED):
+        here = here[here + step < last[here]]
+        if not len(here):
+            break
+        near = here[np.bitwise_count(codes[here] ^ codes[here + step]) <= radius]  # the lower bound
+        found[run[near[np.bitwise_count(fps[near] ^ fps[near + step]) <= radius]]] = True
+    return np.flatnonzero(found)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
     """(a, b) of distinct fingerprints ``fp`` within ``radius`` bits: enough of these to connect whatever they connect."""
     even, odd = F.col("fp").bitwiseAND(F.lit(EVEN)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(EVEN))
@@ -115,11 +133,9 @@ def links(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int
 
     def linked(rows: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         fps = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
-        size = np.diff(edges)
-        first = edges[:-1][size == 2]
-        first = first[np.bitwise_count(fps[first] ^ fps[first + 1]) <= radius]
-        a, b = [rows[first, 4]], [rows[first + 1, 4]]
-        for start, end in zip(edges[:-1][size > 2], edges[1:][size > 2], strict=True):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for run in runs_with_links(fps, edges, radius):
+            start, end = edges[run], edges[run + 1]
             found = np.array(forest(fps[start:end], radius), dtype=np.int64).reshape(-1, 2) + start
             a.append(rows[found[:, 0], 4])
             b.append(rows[found[:, 1], 4])
@@ -130,7 +146,7 @@ def links(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def grouped(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, words: int = 3, radius: int = RADIUS, groups: int = GROUPS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row ``doc_id``, ``fp``, ``component_id`` (the smallest id in its group), and the group's first row by key.
 
     Equal fingerprints are one node, so copies cost nothing beyond their own rows. Null ids come last
@@ -139,16 +155,19 @@ def grouped(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_column: st
     rows = written(fingerprints(docs, words, id_column, text_column), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_id", "key_text")).alias("first")
     nodes = written(rows.groupBy("fp").agg(first), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(nodes.select("fp"), radius, groups))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
     labels = rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
     return rows.join(labels, "fp").withColumn("component_id", F.col("first")["doc_id"])
 
 
-def deduplicated(docs: DataFrame, words: int = 5, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest id; rows repeated under one id and text become one."""
-    kept = grouped(docs, words, radius, id_column, text_column).where((F.col("key_id") == F.col("first")["key_id"]) & (F.col("key_text") == F.col("first")["key_text"]))
+def deduplicated(docs: DataFrame, words: int = 5, radius: int = 7, groups: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group: that of the smallest id; rows repeated under one id and text become one.
+
+    Seven bits of 64 are a Jaccard similarity of the five-word shingles of about 0.9.
+    """
+    kept = grouped(docs, words, radius, groups, id_column, text_column).where((F.col("key_id") == F.col("first")["key_id"]) & (F.col("key_text") == F.col("first")["key_text"]))
     names = ["_dedup_id", "_dedup_text"]
     keys = [k.alias(n) for k, n in zip(row_key(F.col(id_column), F.col(text_column).cast("string")), names, strict=True)]
     left = kept.select(F.col("key_id").alias(names[0]), F.col("key_text").alias(names[1])).distinct()
