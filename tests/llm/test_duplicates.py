@@ -15,30 +15,32 @@ SCHEMA = "doc_id long, text string"
 @pytest.mark.parametrize("block", [simhash.BLOCK, 5])
 def test_groups_match_all_pairs(docs, corpus, block, monkeypatch):
     monkeypatch.setattr(simhash.links, "__defaults__", (simhash.RADIUS, simhash.GROUPS, block))
+    monkeypatch.setattr(simhash, "SCANNED", 256 if block > 5 else 3)
     rows = simhash.grouped(docs.withColumn("fp", F.lit("mine"))).collect()
     assert sorted((r["doc_id"], r["fp"] % 2 ** 64, r["component_id"]) for r in rows) == sorted(brute.groups(corpus))
 
 
 def test_one_row_of_each_group_stays(spark, docs, corpus):
     rows = simhash.deduplicated(docs.withColumn("key_id", F.lit("mine"))).collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted({c for _, _, c in brute.groups(corpus, n=5)})
+    assert sorted(r["doc_id"] for r in rows) == sorted({c for _, _, c in brute.groups(corpus, n=5, radius=7)})
     assert {r["key_id"] for r in rows} == {"mine"}
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "d e f"), (2, None), (3, "")], SCHEMA)
     assert sorted(str(r["doc_id"]) for r in simhash.deduplicated(twice).collect()) == ["1", "2", "None"]
 
 
-def test_the_embedding_is_a_lower_bound():
+@pytest.mark.parametrize("radius,groups", [(simhash.RADIUS, simhash.GROUPS), (7, 10), (0, 2)])
+def test_the_embedding_is_a_lower_bound(radius, groups):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2 ** 64, 2000, dtype=np.uint64)
-    flips = [sum(1 << int(b) for b in rng.choice(64, int(n), replace=False)) for n in rng.integers(0, 6, 2000)]
+    flips = [sum(1 << int(b) for b in rng.choice(64, int(n), replace=False)) for n in rng.integers(0, 10, 2000)]
     b = a ^ np.array(flips, dtype=np.uint64)
     counts = lambda x: np.stack([np.bitwise_count((x >> np.uint64(2 * i)) & np.uint64(3)).astype(int) for i in range(32)])
     manhattan = np.abs(counts(a) - counts(b)).sum(axis=0)
     assert (np.bitwise_count(simhash.embedded(a) ^ simhash.embedded(b)) == manhattan).all()
     assert (manhattan <= np.bitwise_count(a ^ b)).all()
     # within the radius, some grid puts the two into one cell
-    masks = [np.uint64(m % 2 ** 64) for m in simhash.masks(simhash.RADIUS, simhash.GROUPS)]
-    near = np.bitwise_count(a ^ b) <= simhash.RADIUS
+    masks = [np.uint64(m % 2 ** 64) for m in simhash.masks(radius, groups)]
+    near = np.bitwise_count(a ^ b) <= radius
     shared = np.array([(simhash.embedded(a) & m) == (simhash.embedded(b) & m) for m in masks]).any(axis=0)
     assert shared[near].all()
 

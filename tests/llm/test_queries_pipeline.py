@@ -74,7 +74,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     # rejected are the texts without letters or in no known script
     assert {r[0] for r in given} - {r[0] for r in known} == {9001, 9002, 9003, 9004}
     # one document, with the smallest id, of each group
-    want = {c for *_, c in brute.groups([(r[0], r[1]) for r in known], n=5)}
+    want = {c for *_, c in brute.groups([(r[0], r[1]) for r in known], n=5, radius=7)}
     assert {r[0] for r in single} == want and len(single) == len(want) and set(single) <= set(known)
     # no repeated string is left
     rest = {i: kept.decode("utf-8", "ignore") for i, *_, kept in brute.removed([(r[0], r[1]) for r in single])}
