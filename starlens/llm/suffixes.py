@@ -32,8 +32,9 @@ GRAM = 64
 PLACES = LENGTH - GRAM + 1
 #: Starts of strings looked at together; their places fit PLACE_BITS with room for the last string.
 CHUNK, PLACE_BITS = 1 << 19, 20
-#: Different contexts of a gram that one task orders; of more, ranges of so many strings are hashed.
-CONTEXTS, STEPS = 4096, (16, 4, 1)
+#: Different contexts that a task orders together, some 300 bytes each, and of one gram at most; of more
+#: than these, ranges of so many strings are hashed.
+TOGETHER, CONTEXTS, STEPS = 4096, 1 << 16, (16, 4, 1)
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
@@ -190,7 +191,7 @@ def ordered(classes: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= CONTEXTS:
+            if rows >= TOGETHER:
                 table = pa.Table.from_batches(held).combine_chunks()
                 gram = table["gram"].to_numpy()
                 cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
