@@ -25,7 +25,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read back: later jobs don't compute it again."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -158,9 +158,9 @@ def against_next(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     done = written(map_arrow(dealt, run, schema), "neighbours")
     # one small row per task puts the tasks in order; the texts meet by an equal join
     tasks = done.where("edge = 'first'").select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("place"))
-    n = tasks.agg(F.count("*").alias("tasks"))
-    edges = done.where("edge is not null").select("part", "edge", "edge_id", "edge_text").join(tasks, "part").join(F.broadcast(n))
-    lasts = edges.where("edge = 'last'").select("edge_id", "edge_text", ((F.col("place") + 1) % F.col("tasks")).alias("place"))
+    n = tasks.agg(F.count("*").alias("n")).scalar()
+    edges = done.where("edge is not null").select("part", "edge", "edge_id", "edge_text").join(tasks, "part")
+    lasts = edges.where("edge = 'last'").select("edge_id", "edge_text", ((F.col("place") + 1) % n).alias("place"))
     firsts = edges.where("edge = 'first'").select(F.col("edge_text").alias("next_text"), "place")
 
     def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
