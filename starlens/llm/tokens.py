@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PARTS = 600_000
+CACHED_PARTS = 200_000
 #: Bytes of text encoded at a time (a longer text alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Texts with a space next to other white space are cut by the slower rule.
 NEAR_SPACES = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
 CUT = re.compile(r"(?= \S)")
