@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import language, mixing, orderhash, packing, quality, sharding, simhash, suffixes, tokenfiles, toxicity
+from starlens.llm import conversations, decontaminate, language, mixing, orderhash, packing, quality, repeats, sharding, simhash, suffixes, tokenfiles, toxicity
 from starlens.llm.common import documents
-from starlens.session import work_path
+from starlens.session import configure, work_path
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,44 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("rate")
 
 
+def damaged(conversations_: DataFrame) -> DataFrame:
+    """Rows with planted faults, by a hash of their place: ``dropped`` ones, empty texts, texts without full stops, repeated rows, wrong roles."""
+    place = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fault = F.pmod(F.crc32(place.cast("binary")), F.lit(20))
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    rows = conversations_.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (fault == 0).alias("dropped"), F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = configure(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(damaged(rows), dropped="dropped")
+
+
+def op12_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.runs(documents(spark, sf_dir), planted=True)
+    best = F.col("longest")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"), F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash_near_duplicates, op3_quality_rules, op4_suffix_array_dedup, op5_language_id,
-    op6_token_files, op7_ordinal_toxicity, op8_extendible_sharding, op9_order_minhash, op10_poisson_mixing)}
+    op6_token_files, op7_ordinal_toxicity, op8_extendible_sharding, op9_order_minhash, op10_poisson_mixing,
+    op11_conversation_repair, op12_repeated_runs, op13_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_quality_rules": quality.rules_sql(), "op4_suffix_array_dedup": suffixes.removed_sql(),
-            "op8_extendible_sharding": sharding.shards_sql(), "op10_poisson_mixing": mixing.mix_sql()}
+            "op8_extendible_sharding": sharding.shards_sql(), "op10_poisson_mixing": mixing.mix_sql(),
+            "op13_benchmark_decontamination": decontaminate.hits_sql()}
