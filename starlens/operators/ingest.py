@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starlens.functions import dates, text as tx
 from starlens.functions import fixed_values as fv
-from starlens.operators.topn import first_n, first_one
+from starlens.operators.topn import SMALL, first_n, first_n_by_cut, first_one
 
 
 def normalize(raw: DataFrame) -> DataFrame:
@@ -35,13 +35,20 @@ def time_window(df: DataFrame, after, until=None, at: str = "Review_Date") -> Da
 def newest_n(df: DataFrame, n: int) -> DataFrame:
     """The newest n reviews of each product, as the store feed delivers them."""
     order = [F.col("Review_Date").desc_nulls_last(), F.col("review_id").asc()]
-    return first_n(df, ["App"], order, n)
+    if n <= SMALL:
+        return first_n(df, ["App"], order, n)
+    return first_n_by_cut(df, ["App"], -F.unix_micros("Review_Date"), order, n)
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = fv.SEED) -> DataFrame:
     """n reviews per product in the order of a seeded hash of the id: the same rows every run."""
-    order = [F.md5(F.concat(F.col("review_id"), F.lit(f"-{seed}"))), F.col("review_id")]
-    return first_n(df, ["App"], order, n)
+    digest = F.md5(F.concat(F.col("review_id"), F.lit(f"-{seed}")))
+    order = [digest, F.col("review_id")]
+    if n <= SMALL:
+        return first_n(df, ["App"], order, n)
+    # rows without an id come first here, as nulls do in ``order``
+    lead = F.coalesce(F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint"), F.lit(-1))
+    return first_n_by_cut(df, ["App"], lead, order, n)
 
 
 def has_id(column: str = "review_id") -> Column:

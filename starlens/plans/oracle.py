@@ -246,6 +246,7 @@ def build() -> dict[str, str]:
     q["scan_raw"] = t + f"SELECT App, review_id AS \"reviewId\", {sec('Review_Date')} AS \"at\", Star_Rating AS score, Review_Text AS content, Thumbs_Up_Count AS \"thumbsUpCount\", App_Version AS \"appVersion\" FROM texted"
     q["newest_n_per_app"] = b + "SELECT App, review_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY App ORDER BY Review_Date DESC, review_id) AS INTEGER) AS rank FROM reviews) WHERE rank <= 500"
     q["union_schema_drift"] = b + f"SELECT CASE WHEN Review_Date >= TIMESTAMP '2024-01-11' THEN review_id END AS review_id, App, {sec('Review_Date')} AS Review_Date, Star_Rating, Thumbs_Up_Count FROM reviews"
+    q["newest_5000_per_app"] = q["newest_n_per_app"].replace("rank <= 500", "rank <= 5000")
     q["append_reviews"] = t + "SELECT App, count(*) AS n, CAST(sum(Word_Count) AS BIGINT) AS words, CAST(sum(Review_Length_Chars) AS BIGINT) AS chars FROM full_reviews GROUP BY App"
     q["rewrite_reviews"] = th + "SELECT App, Review_Theme, count(*) AS n, CAST(0 AS BIGINT) AS still_missing FROM themed GROUP BY ALL"
     q["insights_explode"] = document_rows()
@@ -324,6 +325,7 @@ def build() -> dict[str, str]:
     q["sample_union"] = f"WITH {SAMPLES}\nSELECT App, side, rank, star, text FROM samples"
     q["top50_negative"] = f"WITH {NEGATIVE}\nSELECT App, rank, review_id, Review_Text FROM negative"
     q["balanced_sample"] = b + "SELECT App, rank, review_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY App ORDER BY md5(review_id || '-42'), review_id) AS INTEGER) AS rank FROM reviews) WHERE rank <= 100"
+    q["balanced_sample_5000"] = q["balanced_sample"].replace("rank <= 100", "rank <= 5000")
 
     # comparison and reports
     cards = f"WITH {CARDS}\n"

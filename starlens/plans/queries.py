@@ -61,6 +61,11 @@ def newest_n_per_app(spark, sf):
     return I.newest_n(_plain(spark, sf), 500).select("App", "review_id", "rank")
 
 
+@query
+def newest_5000_per_app(spark, sf):
+    return I.newest_n(_plain(spark, sf), 5000).select("App", "review_id", "rank")
+
+
 @query
 def union_schema_drift(spark, sf):
     reviews = _plain(spark, sf)
@@ -75,8 +80,9 @@ def append_reviews(spark, sf):
     path = work_path(spark, "reviews")
     reviews = T.reviews(spark, sf)
     cut = F.lit("2024-01-16").cast("timestamp")
-    S.append_reviews(reviews.where(F.col("Review_Date") < cut), path)
-    S.append_reviews(reviews.where(F.col("Review_Date") >= cut), path)
+    S.append_reviews(reviews.where(F.col("Review_Date") < cut), path, batch=0)
+    for _ in range(2):  # the second batch is handed in twice
+        S.append_reviews(reviews.where(F.col("Review_Date") >= cut), path, batch=1)
     return S.scan_reviews(spark, path).groupBy("App").agg(
         F.count(F.lit(1)).alias("n"), F.sum("Word_Count").alias("words"), F.sum("Review_Length_Chars").alias("chars"))
 
@@ -110,14 +116,14 @@ def insights_explode(spark, sf):
 
 @query
 def watermark_state(spark, sf):
-    path = work_path(spark, "mark")
+    path = work_path(spark, "marked")
     reviews = _plain(spark, sf)
-    S.save_mark(spark, path, "2024-01-10 00:00:00")
-    done = I.time_window(reviews, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
-    S.next_mark(done).write.mode("append").parquet(path)
-    mark = S.load_mark(spark, path)
-    after = reviews.where(F.col("Review_Date") > mark.scalar()).agg(F.count(F.lit(1)).alias("rows_after"))
-    return after.withColumn("last_run", dates.second_text(mark.scalar()))
+    S.append_reviews(reviews.where(F.col("Review_Date") <= F.lit("2024-01-10").cast("timestamp")), path, batch=0)
+    for _ in range(2):
+        S.append_reviews(I.time_window(reviews, "2024-01-10 00:00:00", "2024-01-20 00:00:00"), path, batch=1)
+    mark = F.lit(S.stored_mark(spark, path)).cast("timestamp")
+    after = reviews.where(F.col("Review_Date") > mark).agg(F.count(F.lit(1)).alias("rows_after"))
+    return after.withColumn("last_run", dates.second_text(mark))
 
 
 @query
@@ -430,6 +436,11 @@ def balanced_sample(spark, sf):
     return I.balanced_sample(_plain(spark, sf), 100).select("App", "rank", "review_id")
 
 
+@query
+def balanced_sample_5000(spark, sf):
+    return I.balanced_sample(_plain(spark, sf), 5000).select("App", "rank", "review_id")
+
+
 # comparison and reports ------------------------------------------------------------------------
 
 @query
@@ -811,6 +822,7 @@ def incremental_refresh(spark, sf):
     reviews = _plain(spark, sf)
     cut = F.lit("2024-01-20 12:00:00").cast("timestamp")
     path = work_path(spark, "daily_parts")
-    G.parts_of(reviews.where(F.col("Review_Date") <= cut)).write.partitionBy("day").parquet(path)
-    G.store_refresh(spark, path, reviews.where(F.col("Review_Date") > cut))
+    G.store_refresh(spark, path, reviews.where(F.col("Review_Date") <= cut), 0)
+    for _ in range(2):  # the second batch is handed in twice
+        G.store_refresh(spark, path, reviews.where(F.col("Review_Date") > cut), 1)
     return G.published(spark, path)

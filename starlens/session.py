@@ -74,17 +74,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored as Parquet in the shared folder and read back: later jobs don't compute it again."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
     java_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return java_path.getFileSystem(spark._jsc.hadoopConfiguration()), java_path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, java_path = _file_system(spark, path)
+    fs, java_path = file_system(spark, path)
     return fs.exists(java_path)
 
 
 def remove_work(spark: SparkSession) -> None:
     """Remove all that ``work_path`` handed out to this application; call it when results are stored."""
-    fs, java_path = _file_system(spark, _work_folder(spark))
+    fs, java_path = file_system(spark, _work_folder(spark))
     fs.delete(java_path, True)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from starlens.functions import dates
 from starlens.operators import aggregate as A
+from starlens.session import exists
+from starlens.sources import versioned as V
 
+PARTS = "parts"
 STORED = "App string, sum_sentiment double, n_sentiment bigint, sum_star double, n bigint, day string"
 
 
@@ -32,13 +35,27 @@ def refresh(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changed, A.series_from_parts(changed, "day")
 
 
-def store_refresh(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Bring the stored parts (one folder per day) up to date. Only folders of touched days are
-    replaced, when the whole job has succeeded; a batch must be handed in once."""
-    stored = spark.read.schema(STORED).parquet(path)
-    changed, _ = refresh(stored, batch)
-    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def store_refresh(spark: SparkSession, path: str, batch: DataFrame, number: int | None = None, writer: str = "refresh", fan: int = V.FAN) -> bool:
+    """Bring the stored parts up to date: the batch's own sums and counts are added in one step, old ones stay
+    as they are. False, and nothing changes, if this batch number was handed in before. Parts that an earlier
+    release left as plain folders of days are taken over first."""
+    if V.manifest(spark, path)["version"] == 0 and exists(spark, path):
+        V.append(spark.read.schema(STORED).option("basePath", path).parquet(f"{path}/day=*"), path, PARTS)
+    if not V.append(parts_of(batch), path, PARTS, writer, number):
+        return False
+    compact(spark, path, fan)
+    return True
+
+
+def stored_parts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per product and day."""
+    return A.add_parts(V.scan(spark, path, PARTS, STORED), "day")
+
+
+def compact(spark: SparkSession, path: str, fan: int = V.FAN) -> None:
+    """Merge parts in levels; the merged part has one row per product and day."""
+    V.compact(spark, path, PARTS, STORED, lambda rows: A.add_parts(rows, "day").coalesce(1), fan=fan)
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    return A.series_from_parts(spark.read.schema(STORED).parquet(path), "day")
+    return A.series_from_parts(stored_parts(spark, path), "day")
