@@ -271,6 +271,7 @@ def build() -> dict[str, str]:
     q["viral_reviews"] = b + "SELECT App, Star_Rating, Thumbs_Up_Count, review_id FROM reviews WHERE Thumbs_Up_Count >= 200 ORDER BY Thumbs_Up_Count DESC, review_id LIMIT 10"
     q["viral_count"] = b + "SELECT App, count(*) AS n FROM reviews WHERE Thumbs_Up_Count >= 200 GROUP BY App"
     q["search_reviews"] = t + "SELECT review_id, App, Star_Rating, Review_Text FROM texted WHERE contains(lower(Review_Text), 'expensive')"
+    q["search_reviews_indexed"] = q["search_reviews"]
     q["search_one_product"] = t + "SELECT review_id, Star_Rating, Review_Text FROM texted WHERE App = 'click' AND contains(lower(Review_Text), 'crashing')"
     q["search_conversations"] = "SELECT conv_id, turn, role, text FROM conversations WHERE contains(lower(text), 'the')"
     q["search_highlight"] = t + r"SELECT review_id, regexp_replace(Review_Text, '(?i)(not working)', '<mark>\1</mark>', 'g') AS highlighted FROM texted WHERE contains(lower(Review_Text), 'not working')"
@@ -426,4 +427,7 @@ def build() -> dict[str, str]:
     q["scan_reviews_window"] = b + f"SELECT review_id, App, {sec('Review_Date')} AS Review_Date, Star_Rating FROM reviews WHERE date_trunc('second', Review_Date) > TIMESTAMP '2024-01-10' AND date_trunc('second', Review_Date) <= TIMESTAMP '2024-01-20'"
     q["quarantine"] = b + "SELECT CASE WHEN Thumbs_Up_Count % 50 = 0 THEN 'malformed' ELSE 'no id' END AS reason, count(*) AS n FROM reviews WHERE Thumbs_Up_Count % 50 IN (0, 1) GROUP BY 1"
     q["incremental_refresh"] = f"WITH {DAILY}\nSELECT * FROM daily"
+    q["overview_from_cube"], q["daily_from_cube"] = q["overview"], q["stream_daily"]
+    q["distinct_from_sketches"] = b + "SELECT App, count(DISTINCT review_id) AS exact, true AS within_bound FROM reviews WHERE strftime(Review_Date, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-25' GROUP BY App"
+    q["median_from_sketches"] = b + "SELECT App, count(Thumbs_Up_Count) AS n, true AS within_bound FROM reviews GROUP BY App"
     return q

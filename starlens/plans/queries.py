@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from starlens.functions import dates, formatting as fm, text as tx
 from starlens.operators import (
-    aggregate as A, classify as C, compare as X, distribution as D, duplicates as U, enrich as E,
-    ingest as I, intervals as V, keywords as K, profile as P, quantiles as Q, report as R,
+    aggregate as A, classify as C, compare as X, cube as B, distribution as D, duplicates as U, enrich as E,
+    ingest as I, intervals as V, keywords as K, profile as P, quantiles as Q, report as R, sketches as H,
 )
 from starlens.session import work_path
-from starlens.sources import insights as N, reviews as S, testtables as T
+from starlens.sources import insights as N, reviews as S, searchindex as Z, testtables as T
 from starlens.streaming import jobs as J, refresh as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,15 @@ def search_reviews(spark, sf):
         "review_id", "App", "Star_Rating", "Review_Text")
 
 
+@query
+def search_reviews_indexed(spark, sf):
+    """The rows of ``search_reviews``, by the index of character triples."""
+    folder = work_path(spark, "searched")
+    rows = T.reviews(spark, sf).select("review_id", "App", "Star_Rating", "Review_Text")
+    Z.add(rows, folder)
+    return Z.search(spark, folder, rows.schema, " Expensive ")
+
+
 @query
 def search_one_product(spark, sf):
     return T.reviews(spark, sf).where((F.col("App") == "click") & tx.matches(F.col("Review_Text"), "crashing")).select(
@@ -490,8 +499,43 @@ def concern_rows(spark, sf):
 
 @query
 def context_lines(spark, sf):
-    return R.context_lines(A.overview(_plain(spark, sf)), A.theme_counts(_themed(spark, sf)),
-                           K.top_keywords(T.reviews(spark, sf)))
+    table = B.cube(_themed(spark, sf))
+    return R.context_lines(B.overview(table), B.theme_counts(table), B.top_keywords(table))
+
+
+@query
+def overview_from_cube(spark, sf):
+    return B.overview(B.cube(_themed(spark, sf)))
+
+
+@query
+def daily_from_cube(spark, sf):
+    return A.series_from_parts(B.series_parts(B.cube(_themed(spark, sf))), "day")
+
+
+@query
+def distinct_from_sketches(spark, sf):
+    """Distinct reviews of a span of days from stored states, held against the exact count."""
+    path = work_path(spark, "states")
+    H.sketched(_plain(spark, sf)).write.parquet(path)
+    span = spark.read.parquet(path).where("day BETWEEN '2024-01-05' AND '2024-01-25'")
+    got = H.merged(span).select("App", H.distinct_count().alias("estimate"))
+    day = dates.day_key(F.col("Review_Date"))
+    exact = _plain(spark, sf).where(day.between("2024-01-05", "2024-01-25")).groupBy("App").agg(F.count_distinct("review_id").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), H.DISTINCT_ERROR * F.col("exact"))
+    return exact.join(got, "App").select("App", "exact", near.alias("within_bound"))
+
+
+@query
+def median_from_sketches(spark, sf):
+    """The median of thumbs per product from merged daily states: the share of rows below and up to it is about one half."""
+    path = work_path(spark, "states")
+    H.sketched(_plain(spark, sf)).write.parquet(path)
+    got = H.merged(spark.read.parquet(path)).select("App", H.quantile(0.5).alias("estimate"))
+    value = F.col("Thumbs_Up_Count")
+    ranks = _plain(spark, sf).join(got, "App").groupBy("App").agg(
+        F.count(value).alias("n"), F.avg((value < F.col("estimate")).cast("double")).alias("below"), F.avg((value <= F.col("estimate")).cast("double")).alias("upto"))
+    return ranks.select("App", "n", ((F.col("below") <= 0.5 + H.RANK_ERROR) & (F.col("upto") >= 0.5 - H.RANK_ERROR)).alias("within_bound"))
 
 
 # duplicates ------------------------------------------------------------------------------------

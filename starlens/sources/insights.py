@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlens import schema as S
-from starlens.functions import dates
 from starlens.operators import aggregate as A
-from starlens.operators import keywords as K
+from starlens.operators import cube as C
 
 
 def _ordered_map(order, key, value, keep=None):
@@ -37,9 +36,8 @@ def insights_document(reviews: DataFrame) -> DataFrame:
 
     Every collected list is bounded: themes, five stars, 30 keywords, 5 samples, days, products.
     """
-    counts, stars = A.theme_counts(reviews), A.rating_distribution(reviews)
-    top, samples = K.top_keywords(reviews), A.sample_reviews(reviews)
-    per_app = A.overview(reviews)
+    table, samples = C.cube(reviews), A.sample_reviews(reviews)  # the only two passes over the texts
+    counts, stars, top, per_app = C.theme_counts(table), C.rating_distribution(table), C.top_keywords(table), C.overview(table)
     per_app = per_app.join(counts.groupBy("App").agg(
         _ordered_map(F.struct((-F.col("n")).alias("a"), F.col("Review_Theme").alias("b")),
                      F.col("Review_Theme"), F.col("n")).alias("Theme_Counts")), "App", "left")
@@ -53,7 +51,7 @@ def insights_document(reviews: DataFrame) -> DataFrame:
     per_app = per_app.join(samples.groupBy("App").agg(
         _samples("negative").alias("Sample_Reviews_Neg"), _samples("positive").alias("Sample_Reviews_Pos")), "App", "left")
 
-    daily_parts = A.series_parts(reviews, dates.day_key(F.col("Review_Date")), "day")
+    daily_parts = C.series_parts(table)
     daily = _series(A.series_from_parts(daily_parts, "day"), "day", "dates")
     monthly = _series(A.monthly_from_daily(daily_parts), "month", "months")
     per_app = per_app.join(daily.withColumnRenamed("s", "daily"), "App", "left")
