@@ -255,7 +255,9 @@ def predicted(docs: DataFrame, model: Model, id_column: str = "doc_id", text_col
 
 
 def recognised(docs: DataFrame, model: Model, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows whose language is known and owns at least ``least`` of the letters; all columns stay.
+    """The rows of whose letters recognised languages together own at least ``least``; all columns stay.
+
+    Rows without letters go. A model without languages can't reject any other row.
 
     The verdict is made in the row itself by an Arrow function, so no row is joined back.
     """
@@ -269,14 +271,17 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.5, id_column: str
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             keep = np.zeros(len(texts), dtype=bool)
-            for begin, w in _chunks(texts) if many else ():
+            for begin, w in _chunks(texts):
                 if not len(w.text):
                     continue
+                if not many:
+                    keep[begin + np.unique(w.text)] = True
+                    continue
                 scores, can = model.scores(w)
                 label = labelled(scores, w.text)
                 letters = np.zeros((int(w.text[-1]) + 1, many + 1))
                 np.add.at(letters, (w.text, np.where(can[np.arange(len(label)), label], label, many)), w.letters)
-                keep[begin:begin + len(letters)] = letters[:, :many].max(axis=1) >= least * np.maximum(letters.sum(axis=1), 1)
+                keep[begin:begin + len(letters)] = letters[:, :many].sum(axis=1) >= least * np.maximum(letters.sum(axis=1), 1)
             yield batch.filter(pa.array(keep))
 
     return map_arrow(docs, run, docs.schema)

@@ -6,7 +6,7 @@ The expected severity is the sum of these probabilities.
 
 from __future__ import annotations
 
-import re
+import regex as re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +27,7 @@ RIDGE, STEPS, RATE = 1e-3, 400, 0.1
 ALARM = 3.0
 #: Beginnings of words of so many letters are features too, told from words by START.
 BEGINNINGS, START = (5, 6, 7), "^"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[\p{L}\p{M}]+")
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ import brute
 import corpus_pipeline
 from compare import connect, difference, schema_difference
 from starlens.llm import queries, tokens
+from test_nearcopies import groups as near_groups
 
 SQL = queries.oracle_sql()
 COLUMNS = {
@@ -21,13 +22,14 @@ COLUMNS = {
     "op5_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op6_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op7_ordinal_toxicity": ["doc_id", "severity"],
+    "op12_repeated_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op9_order_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_of_them_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(entry.oracle_sql())
 
 
@@ -46,7 +48,7 @@ def test_rows_for_every_document(spark, sf_dir, name):
     assert ids == {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op10_poisson_mixing"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op10_poisson_mixing", "op13_benchmark_decontamination"])
 def test_native_plans_run_no_python(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
@@ -74,7 +76,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     # rejected are the texts without letters or in no known script
     assert {r[0] for r in given} - {r[0] for r in known} == {9001, 9002, 9003, 9004}
     # one document, with the smallest id, of each group
-    want = {c for *_, c in brute.groups([(r[0], r[1]) for r in known], n=5, radius=7)}
+    want = set(near_groups([(r[0], r[1]) for r in known]).values())
     assert {r[0] for r in single} == want and len(single) == len(want) and set(single) <= set(known)
     # no repeated string is left
     rest = {i: kept.decode("utf-8", "ignore") for i, *_, kept in brute.removed([(r[0], r[1]) for r in single])}
