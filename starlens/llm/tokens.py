@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PARTS = 200_000
+CACHED_PARTS = 400_000
 #: Bytes of text encoded at a time (a longer text alone).
 SLICE_BYTES = 4 << 20
 #: Texts with a space next to other white space are cut by the slower rule.
@@ -30,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        #: Texts with one of these strings are encoded whole, since the tokenizer takes them out before it cuts.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab()
         space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.spaced = np.zeros(max(tokens.values()) + 1, dtype=bool)
@@ -74,9 +75,12 @@ class Encoder:
         heads, place = np.unique(codes[first], return_inverse=True)
         codes[first] = n + place
         table = self.ids_of([" " + w for w in dictionary] + [dictionary[i] for i in heads])
-        rows = np.flatnonzero(odd)
+        added = np.zeros(len(odd), dtype=bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(odd | added)
         if len(rows):
-            table += [self._cut(texts[int(i)].as_py()) for i in rows]
+            table += [(self.whole if added[i] else self._cut)(texts[int(i)].as_py()) for i in rows]
             keep = np.ones(len(codes), dtype=bool)
             for i in rows:
                 keep[at[i] + 1:at[i + 1]] = False

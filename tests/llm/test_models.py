@@ -136,3 +136,16 @@ def test_toxicity_of_odd_texts(spark, none):
     model = toxicity.train(none, labels)
     rows = toxicity.scored(spark.createDataFrame([(1, None), (1, ""), (None, "x " * 50000)], "doc_id long, text string"), model).collect()
     assert len(rows) == 3 and not any(r["toxic"] for r in rows) and toxicity.scored(none, model).count() == 0
+
+
+def test_words_with_marks_are_seen_when_scored():
+    """The same rule finds words when they are chosen and when they are scored."""
+    vocabulary = {w: i for i, w in enumerate(["हिन्दी", "مُحَمَّد", "ภาษาไทย", "plain"])}
+    assert [i for i, _ in toxicity.features("यह हिन्दी, مُحَمَّد ภาษาไทย PLAIN", vocabulary)] == [0, 1, 2, 3]
+
+
+def test_without_labelled_rows_all_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "и ещё", None)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert {r["doc_id"] for r in language.recognised(docs, model).collect()} == {1, 4}
+    assert language.recognised(docs.limit(0), model).count() == 0

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from starlens.llm import packing, tokenfiles, tokens
 from starlens.session import work_path
@@ -13,23 +14,23 @@ from starlens.session import work_path
 
 @pytest.fixture(scope="module")
 def ids():
-    encoder = tokens.encoder(tokens.default_path())
-    return lambda text: encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    plain = Tokenizer.from_file(tokens.default_path())
+    return lambda text: plain.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_parts_give_the_ids_of_the_whole(monkeypatch):
-    encoder = tokens.Encoder(tokens.default_path())
+    encoder, plain = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
     monkeypatch.setattr(tokens, "SLICE_BYTES", 500)
     monkeypatch.setattr(tokens, "CACHED_PARTS", 300)
     rng = random.Random(1)
     letters = " \n\t　\xa0ab'1.é漢😀|s \x1c\x85\r  ​#<"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    texts += [None, "", " ", "  ", "a " * 5, "<|endoftext|>", " <|endoftext|> x", "y" * 3000]
+    texts += [None, "", " ", "  ", "a " * 5, "<|endoftext|>", " <|endoftext|> x", "start <|endoftext|> end", "a  <|endoftext|>b\n<|endoftext|>", "y" * 3000]
     seen = 0
     for begin, got, edges in encoder.encode(pa.array(texts)):
         assert begin == seen
         for k in range(len(edges) - 1):
-            assert got[edges[k]:edges[k + 1]].tolist() == encoder.tokenizer.encode(texts[begin + k] or "", add_special_tokens=False).ids
+            assert got[edges[k]:edges[k + 1]].tolist() == plain.encode(texts[begin + k] or "", add_special_tokens=False).ids
         seen += len(edges) - 1
     assert seen == len(texts)
 
