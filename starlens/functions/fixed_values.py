@@ -20,17 +20,21 @@ THEME_RULES = [
 DEFAULT_THEME = "General"
 THEMES = [theme for theme, _ in THEME_RULES] + [DEFAULT_THEME]
 
-# Words left out of the keyword tables.
-STOP_WORDS = (
-    "a about after ai all also although an and app are as at back bad be because "
-    "been being but by can cant could did do does dont even every for from get good "
-    "got great had has have he her him his how however i if im in into is it its ive "
-    "just know like make many may me might more most much my need new no not now of "
-    "on one only or other our out over really see shall she should so some still such "
-    "than that the their them then these they thing things this those time to too up "
-    "us use used using very want was way we well were what when where which while who "
-    "why will with would you your"
-).split()
+# Words left out of the keyword tables.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need",
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+    "my", "your", "his", "its", "our", "their", "this", "that", "these", "those",
+    "what", "which", "who", "how", "when", "where", "why", "not", "no", "so", "if",
+    "as", "by", "from", "up", "about", "than", "then", "just", "more", "very", "too",
+    "app", "use", "using", "used", "also", "get", "got", "one", "like", "would", "really",
+    "much", "even", "still", "good", "great", "bad", "cant", "dont", "ive", "its", "im",
+    "ai", "know", "make", "way", "time", "every", "thing", "things", "well", "back",
+    "see", "want", "now", "new", "out", "all", "some", "been", "after", "into", "over",
+    "only", "other", "such", "because", "while", "however", "although", "many", "most",
+]
 
 # Opinion words by polarity. An own list; scores are not those of any library.
 POLARITY_WORDS = {
