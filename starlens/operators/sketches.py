@@ -1,8 +1,7 @@
 """Stored sketches per product and day, merged over any span of days without the reviews.
 
-Distinct counts keep a HyperLogLog state of 2^12 registers (relative error about 1.6 %, three times
-that is asked of no more than 0.3 % of the counts), quantiles a KLL state (rank error about 1.3 % for
-its default size). A state is a few kilobytes however many rows it stands for.
+Distinct counts keep a HyperLogLog state of 2^12 registers (a relative standard error of about 1.6 %),
+quantiles a KLL state of the default size (a rank error of about 1.3 %). A state is a few kilobytes however many rows it stands for.
 """
 
 from __future__ import annotations

@@ -68,7 +68,8 @@ def cuts(df: DataFrame, keys: Sequence[str], lead: Column, n: int, buckets: int
     while True:
         much = (F.col("_total") > n) & (F.col("_before") + F.col("_inside") > n + n // 8 + spare) & (F.col("_low") < F.col("_high"))
         open_ = state.where(much)
-        if open_.isEmpty():
+        many = open_.count()
+        if not many or many > GROUPS:  # so many cuts aren't broadcast; the caller does without
             return state.select(*keys, F.col("_high").alias("cut"), F.col("_total").alias("total"))
         bucket = F.expr("(_lead - _low) div _width")
         asked = open_.withColumn("_width", width)
