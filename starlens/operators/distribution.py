@@ -89,6 +89,37 @@ def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         rounded(F.first(x), 6).alias("x"), rounded(F.sum(share), 6).alias("density"))
 
 
+def kde_binned(df: DataFrame, column: str, points: int = 200, fine: int = 8) -> DataFrame:
+    """``kde`` by linear binning: no distinct value is shuffled.
+
+    A value is split between its two neighbours on a grid ``fine`` times as narrow as that of the points, by nearness; map tasks
+    add up the grid's weights. The density at a point is the sum of the kernel over the weights within REACH
+    bandwidths. It differs from the exact one by about (grid step / bandwidth)^2 / 8 of its height.
+    """
+    last = fine * (points - 1)
+    values = df.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    stats = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("total"), F.stddev_samp("value").alias("sd")).select(F.struct(
+        "low", "high", "total", (F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("bandwidth"),
+        ((F.col("high") - F.col("low")) / F.lit(float(last))).alias("step")).alias("s"))
+    place = (F.col("value") - F.col("s.low")) / F.col("s.step")
+    cell = F.least(F.floor(place), F.lit(last - 1)).cast("int")
+    cells = values.withColumn("s", stats.scalar()).where("s.bandwidth > 0").select(cell.alias("cell"), (place - cell).alias("part"), "s") \
+        .groupBy("cell").agg(F.sum(1 - F.col("part")).alias("here"), F.sum("part").alias("next"), F.first("s").alias("s"))
+    # at most ``last`` rows from here on
+    both = F.array(F.struct(F.col("cell").alias("at"), F.col("here").alias("w")), F.struct((F.col("cell") + 1).alias("at"), F.col("next").alias("w")))
+    weights = cells.select("s", F.inline(both)).select("s.*", "at", "w")
+    reach = F.lit(REACH) * F.col("bandwidth") / F.col("step")
+    first = F.greatest(F.ceil((F.col("at") - reach) / fine), F.lit(0)).cast("int")
+    final = F.least(F.floor((F.col("at") + reach) / fine), F.lit(points - 1)).cast("int")
+    # a weight between two points too far from both reaches none
+    near = weights.withColumn("point", F.explode(F.when(first <= final, F.sequence(first, final))))
+    spine = stats.select("s.*").where("bandwidth > 0").select("*", F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    z = (F.col("point") * fine - F.col("at")) * F.col("step") / F.col("bandwidth")
+    share = F.col("w") * F.exp(F.lit(-0.5) * z * z) / (F.col("total") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi()))
+    return near.unionByName(spine).groupBy("point").agg(
+        rounded(F.first(F.col("low") + F.col("point") * fine * F.col("step")), 6).alias("x"), rounded(F.sum(share), 6).alias("density"))
+
+
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the rows beyond them."""
     counts = Q.value_counts(df, [key], value)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from starlens.functions import fixed_values as fv
 from starlens.functions import text as tx
 from starlens.operators.topn import first_n
+from starlens.session import written
 
 
 def star_band():
@@ -49,6 +50,34 @@ def exact_cloud(df: DataFrame, n: int = fv.MERGED_CLOUD_SIZE, stop_words=fv.STOP
     return first_n(merged, ["polarity"], [F.desc("n"), F.asc("word")], n)
 
 
+def cloud_from_counts(counts: DataFrame, n: int = fv.MERGED_CLOUD_SIZE) -> DataFrame:
+    """The list of ``exact_cloud`` from stored (App, polarity, word, n), which is not added up as a whole.
+
+    A threshold algorithm in three passes. The products' own lists of n words give a count that the n-th word has at
+    least (``floor``); a word below ``floor`` / products in every product can't reach it. Then only counts of that
+    size are added up: with what the others can add at most, few words are left. Their counts are added exactly.
+    Filters and the few words reach the scan of the stored counts; ties of the last place are kept until ranked.
+    """
+    best = [F.desc("n"), F.asc("word")]
+
+    def nth(sums: DataFrame) -> DataFrame:
+        return first_n(sums, ["polarity"], best, n).where(F.col("rank") == n).select("polarity", F.col("n").alias("floor"))
+
+    lists = first_n(counts, ["App", "polarity"], best, n)
+    products = counts.select("App", "polarity").distinct().groupBy("polarity").agg(F.count(F.lit(1)).alias("products"))
+    floor = nth(lists.groupBy("polarity", "word").agg(F.sum("n").alias("n")))
+    # one row per polarity; a side of fewer than n words has no floor, so all its counts are added up
+    least = written(products.join(floor, "polarity", "left").select(
+        "polarity", "products", F.ceil(F.coalesce("floor", F.lit(0)) / F.col("products")).alias("least")), "least")
+    large = counts.join(F.broadcast(least), "polarity").where(F.col("n") >= F.col("least"))
+    unseen = (F.first("products") - F.count(F.lit(1))) * F.greatest(F.first("least") - 1, F.lit(0))
+    sums = written(large.groupBy("polarity", "word").agg(F.sum("n").alias("n"), (F.sum("n") + unseen).alias("most")), "sums")
+    left = written(sums.join(F.broadcast(nth(sums)), "polarity", "left").where(
+        F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).select("polarity", "word"), "left")
+    exact = counts.join(left, ["polarity", "word"], "left_semi").groupBy("polarity", "word").agg(F.sum("n").alias("n"))
+    return first_n(exact, ["polarity"], best, n)
+
+
 def cloud_weights(cloud: DataFrame) -> DataFrame:
     """Font size 0.8..2.4 and opacity 0.55..1 from the counts of a cut list."""
     side = Window.partitionBy("polarity")  # a list of at most n words

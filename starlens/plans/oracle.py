@@ -5,6 +5,8 @@ Word and rule lists come from ``fixed_values``; everything else is stated here o
 
 from __future__ import annotations
 
+import math
+
 from starlens.functions import fixed_values as fv
 from starlens.sources.testtables import PHRASES
 
@@ -189,6 +191,19 @@ def interval(value: str) -> str:
             f"{rnd(f'avg({value}) - {half}')} AS ci_low, {rnd(f'avg({value}) + {half}')} AS ci_high")
 
 
+def bootstrap(relations: str, rows: str, keys: str) -> str:
+    """1000 replicas of 1024 slices weighted by Poisson(1) numbers, from the first 32 bits of an MD5."""
+    h = "CAST('0x' || left(md5({}), 8) AS BIGINT)"
+    cuts = [math.floor(2 ** 32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+    return f"""WITH {relations}, r AS ({rows}),
+      su AS (SELECT {keys}, {h.format("coalesce(review_id, '')")} % 1024 AS slice, count(x) AS n, sum(x) AS x FROM r WHERE x IS NOT NULL GROUP BY ALL),
+      ha AS (SELECT s.i AS slice, p.i AS replica, {h.format("s.i || ':' || p.i || ':42'")} AS h FROM range(1024) s(i), range(1000) p(i)),
+      dr AS (SELECT slice, replica, {" + ".join(f"CAST(h >= {c} AS INTEGER)" for c in cuts)} AS w FROM ha),
+      me AS (SELECT {keys}, replica, sum(w * x) / nullif(sum(w * n), 0) AS m FROM su JOIN dr USING (slice) GROUP BY ALL),
+      ci AS (SELECT {keys}, {rnd("quantile_cont(m, 0.025)")} AS ci_low, {rnd("quantile_cont(m, 0.975)")} AS ci_high FROM me GROUP BY ALL)
+      SELECT * FROM (SELECT {keys}, CAST(sum(n) AS BIGINT) AS n, {rnd("sum(x) / sum(n)")} AS mean FROM su GROUP BY ALL) JOIN ci USING ({keys})"""
+
+
 def words_of(polarity: str, k: int) -> str:
     return f"(SELECT App, string_agg(word, ', ' ORDER BY rank) AS words FROM top WHERE polarity = '{polarity}' AND rank <= {k} GROUP BY App)"
 
@@ -288,6 +303,7 @@ def build() -> dict[str, str]:
     q["keywords_topk"] = w + "SELECT App, polarity, word, n, rank FROM top"
     q["keywords_merge_topk"] = w + "SELECT polarity, word, n, rank FROM cloud"
     q["keywords_exact_topk"] = w + "SELECT polarity, word, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY polarity ORDER BY n DESC, word) AS INTEGER) AS rank FROM (SELECT polarity, word, CAST(sum(n) AS BIGINT) AS n FROM kc GROUP BY ALL)) WHERE rank <= 40"
+    q["keywords_exact_from_counts"] = q["keywords_exact_topk"]
     q["cloud_weights"] = w + """, lim AS (SELECT polarity, min(n) AS low, max(n) AS high FROM cloud GROUP BY 1)
       SELECT polarity, rank, word, n, round(CASE WHEN high = low THEN 1.4::DOUBLE ELSE 0.8::DOUBLE + (n - low) / (high - low) * 1.6::DOUBLE END, 6) AS size,
       round(0.55::DOUBLE + (n - low) / (CASE WHEN high > low THEN high - low ELSE 1 END) * 0.45::DOUBLE, 6) AS opacity FROM cloud JOIN lim USING (polarity)"""
@@ -395,6 +411,8 @@ def build() -> dict[str, str]:
     q["box_stats_thumbs"] = f"WITH {BASE}" + box("'Thumbs_Up_Count'", "reviews", "Thumbs_Up_Count")
     q["mean_thumbs_ci"] = b + f"SELECT App, {interval('x')} FROM (SELECT App, {capped} AS x FROM reviews) GROUP BY App"
     q["star_by_app_theme"] = th + f"SELECT App, Review_Theme, {interval('Star_Rating')} FROM themed GROUP BY ALL"
+    q["mean_thumbs_bootstrap"] = bootstrap(BASE, f"SELECT review_id, App, {capped} AS x FROM reviews", "App")
+    q["star_by_app_theme_bootstrap"] = bootstrap(THEMED, "SELECT review_id, App, Review_Theme, CAST(Star_Rating AS DOUBLE) AS x FROM themed", "App, Review_Theme")
     long = per_column(lambda c: f"SELECT {lit(c)} AS \"column\", CAST({c} AS DOUBLE) AS value FROM full_reviews", NUMERIC)
     q["histogram_20"] = f"WITH {TEXT},\n" + histogram(long, 20)
     q["histogram_zoom"] = f"WITH {BASE},\n" + histogram("SELECT 'Thumbs_Up_Count' AS \"column\", CAST(Thumbs_Up_Count AS DOUBLE) AS value FROM reviews WHERE Thumbs_Up_Count <= 100", 50)
@@ -404,6 +422,13 @@ def build() -> dict[str, str]:
       g AS (SELECT CAST(i AS INTEGER) AS point, low + i * (high - low) / 199.0::DOUBLE AS x, total, h FROM st, range(200) t(i))
       SELECT point, {rnd('any_value(x)', 6)} AS x, {rnd('sum(n * exp(-0.5 * ((x - v) / h) * ((x - v) / h)) / (total * h * sqrt(2.0 * pi())))', 6)} AS density FROM g, v GROUP BY point"""
 
+    q["kde_grid_binned"] = b + f""", st AS (SELECT min(Sentiment_Polarity) AS low, max(Sentiment_Polarity) AS high, count(Sentiment_Polarity) AS total, stddev_samp(Sentiment_Polarity) * pow(count(Sentiment_Polarity), -0.2) AS h FROM reviews),
+      p AS (SELECT (Sentiment_Polarity - low) / ((high - low) / 1592.0::DOUBLE) AS place FROM reviews, st WHERE Sentiment_Polarity IS NOT NULL),
+      c AS (SELECT least(floor(place), 1591) AS cell, place FROM p),
+      v AS (SELECT g, sum(w) AS n FROM (SELECT cell AS g, 1 - (place - cell) AS w FROM c UNION ALL SELECT cell + 1, place - cell FROM c) GROUP BY g),
+      g AS (SELECT CAST(i AS INTEGER) AS point, low, (high - low) / 1592.0::DOUBLE AS step, total, h FROM st, range(200) t(i))
+      SELECT point, {rnd('any_value(low + point * 8 * step)', 6)} AS x, {rnd('sum(n * exp(-0.5 * pow((point * 8 - g.g) * step / h, 2)) / (total * h * sqrt(2.0 * pi())))', 6)} AS density FROM (SELECT * FROM g, v) AS g GROUP BY point"""
+
     # classification
     q["ml_dataset"] = t + "SELECT review_id AS id, coalesce(Review_Text, '') AS text, CASE WHEN Star_Rating >= 4 THEN 1 ELSE 0 END AS label FROM texted"
     q["ml_split"] = f"WITH {LABELLED} SELECT id, label, is_test FROM labelled"
@@ -412,6 +437,11 @@ def build() -> dict[str, str]:
       wd AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM train),
       g AS (SELECT word, count(*) AS term_count, count(DISTINCT id) AS df FROM wd WHERE word NOT IN ({stop}) GROUP BY word ORDER BY term_count DESC, word LIMIT 5000)
       SELECT word, term_count, df, {rnd('ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1.0::DOUBLE + df)) + 1.0', 6)} AS idf FROM g"""
+    q["ml_tfidf_weights"] = q["ml_idf"].split("SELECT word, term_count, df")[0].rstrip() + f""",
+      i AS (SELECT word, ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1.0::DOUBLE + df)) + 1.0 AS idf FROM g),
+      aw AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM labelled),
+      x AS (SELECT id, word, count(*) * any_value(idf) AS x FROM aw JOIN i USING (word) GROUP BY id, word)
+      SELECT id, word, {rnd('x / sqrt(sum(x * x) OVER (PARTITION BY id))', 6)} AS weight FROM x"""
     q["classification_report"] = report("WITH pr AS (SELECT quality AS label, toxic AS prediction FROM labels)")
     q["confusion_matrix"] = "SELECT quality AS label, count(*) FILTER (toxic = 0) AS predicted_0, count(*) FILTER (toxic = 1) AS predicted_1 FROM labels WHERE quality IS NOT NULL GROUP BY 1"
 

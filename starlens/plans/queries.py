@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from starlens.functions import dates, formatting as fm, text as tx
 from starlens.operators import (
     aggregate as A, classify as C, compare as X, cube as B, distribution as D, duplicates as U, enrich as E,
-    ingest as I, intervals as V, keywords as K, profile as P, quantiles as Q, report as R, sketches as H,
+    ingest as I, intervals as V, keywords as K, profile as P, quantiles as Q, report as R, sketches as H, svc as L,
 )
-from starlens.session import work_path
+from starlens.session import work_path, written
 from starlens.sources import insights as N, reviews as S, searchindex as Z, testtables as T
 from starlens.streaming import jobs as J, refresh as G
 
@@ -297,6 +297,12 @@ def keywords_exact_topk(spark, sf):
     return K.exact_cloud(T.reviews(spark, sf))
 
 
+@query
+def keywords_exact_from_counts(spark, sf):
+    """The exact merged list from stored counts per product."""
+    return K.cloud_from_counts(written(K.keyword_counts(T.reviews(spark, sf)), "keyword_counts"))
+
+
 @query
 def cloud_weights(spark, sf):
     return K.cloud_weights(K.merged_cloud(K.top_keywords(T.reviews(spark, sf))))
@@ -673,7 +679,7 @@ def mean_thumbs_ci(spark, sf):
 
 @query
 def mean_thumbs_bootstrap(spark, sf):
-    return V.mean_bootstrap_interval(D.winsorize(_plain(spark, sf)), ["App"], "Thumbs_Up_Capped")
+    return V.mean_sliced_interval(D.winsorize(_plain(spark, sf)), ["App"], "Thumbs_Up_Capped", "review_id")
 
 
 @query
@@ -683,7 +689,7 @@ def star_by_app_theme(spark, sf):
 
 @query
 def star_by_app_theme_bootstrap(spark, sf):
-    return V.mean_bootstrap_interval(_themed(spark, sf), ["App", "Review_Theme"], "Star_Rating")
+    return V.mean_sliced_interval(_themed(spark, sf), ["App", "Review_Theme"], "Star_Rating", "review_id")
 
 
 @query
@@ -706,6 +712,11 @@ def kde_grid(spark, sf):
     return D.kde(_plain(spark, sf), "Sentiment_Polarity")
 
 
+@query
+def kde_grid_binned(spark, sf):
+    return D.kde_binned(_plain(spark, sf), "Sentiment_Polarity")
+
+
 # classification ------------------------------------------------------------------------------------
 
 @query
@@ -730,6 +741,13 @@ def ml_tfidf(spark, sf):
     return C.fit_tfidf(parts.where("NOT is_test")).transform(parts).select("id", "label", "is_test", "features")
 
 
+@query
+def ml_tfidf_weights(spark, sf):
+    parts = C.with_words(C.split(T.labelled_documents(spark, sf)))
+    weights = C.term_weights(C.fit_tfidf(parts.where("NOT is_test")), parts)
+    return weights.select("id", "word", fm.rounded(F.col("weight"), 6).alias("weight"))
+
+
 @query
 def ml_logreg(spark, sf):
     return C.train_and_predict(T.labelled_documents(spark, sf), "logreg")
@@ -745,6 +763,11 @@ def ml_svc(spark, sf):
     return C.train_and_predict(T.labelled_documents(spark, sf), "svc")
 
 
+@query
+def ml_svc_squared(spark, sf):
+    return L.train_and_predict(T.labelled_documents(spark, sf))
+
+
 @query
 def ml_logreg_report(spark, sf):
     return C.classification_report(C.train_and_predict(T.labelled_documents(spark, sf), "logreg"))
