@@ -46,18 +46,20 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
         bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
         bucket[last[:-1]] = 1 << BUCKETS
         seen = np.bincount(bucket, minlength=(1 << BUCKETS) + 1)[:-1]
-        chosen = np.argpartition(seen, -PAIRS)[-PAIRS:]
-        chosen = np.sort(chosen[seen[chosen] >= LEAST])
+        chosen = np.flatnonzero(seen >= LEAST)
+        if len(chosen) > PAIRS:
+            chosen = np.sort(chosen[np.argpartition(seen[chosen], -PAIRS)[-PAIRS:]])
         number = np.full((1 << BUCKETS) + 1, -1, dtype=np.int32)
         number[chosen] = np.arange(len(chosen))
-        place = np.flatnonzero(number[bucket] >= 0)
+        which = number[bucket]
+        place = np.flatnonzero(which >= 0)
         if not len(place):
             break
-        which = number[bucket[place]]
+        which, firsts, seconds = which[place], left[place], right[place]
         # a bucket stands for the pair that comes first in it; other pairs in it stay
         one_left, one_right = np.zeros(len(chosen), np.uint32), np.zeros(len(chosen), np.uint32)
-        one_left[which[::-1]], one_right[which[::-1]] = left[place][::-1], right[place][::-1]
-        same = (one_left[which] == left[place]) & (one_right[which] == right[place])
+        one_left[which[::-1]], one_right[which[::-1]] = firsts[::-1], seconds[::-1]
+        same = (one_left[which] == firsts) & (one_right[which] == seconds)
         place, which = place[same], which[same]
         # of pairs that share symbols, every second one from the left
         begins = np.diff(place, prepend=-2) != 1
@@ -72,7 +74,6 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
         new[good] = fresh + np.arange(good.sum())
         rules.append(np.stack([one_left[good], one_right[good]], axis=1))
         before = len(symbols)
-        symbols = symbols.copy()
         symbols[place] = new[which]
         last[place] = last[place + 1]
         keep = np.ones(before, dtype=bool)
