@@ -44,6 +44,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, n_bytes: int, task_bytes: int) -> int:
+    """Tasks of about ``task_bytes`` each, but never more than four rounds of shuffle partitions: beyond that a task
+    takes more than its share, so its memory must not depend on it."""
+    return max(1, min(-(-n_bytes // task_bytes), 4 * parts(spark)))
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver found it, if it isn't installed."""
     context = df.sparkSession.sparkContext

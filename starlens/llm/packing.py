@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlens.llm import tokens
-from starlens.llm.common import map_arrow
+from starlens.llm.common import map_arrow, tasks_for
 
-#: Bytes of text whose pieces are packed together in one task.
+#: Bytes of text that a task is given, and bytes of ids that are packed together; a task with more packs several groups.
 GROUP_BYTES = 16 << 20
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary"
@@ -101,19 +102,29 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
     return map_arrow(docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")), cut, PIECES)
 
 
-def packed(cut: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
+def packed(cut: DataFrame, tasks: int, capacity: int = 1024, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``, their place in a sequence of ``capacity`` ids at most.
 
-    Pieces are dealt by hash into ``groups`` tasks, so no key makes one large, and each task packs
-    what it got; it holds one group, about GROUP_BYTES of text.
+    Pieces are dealt by a hash of id, place and ids into ``tasks`` tasks and sorted by it; a task packs
+    them in groups of ``group_bytes`` of ids, one after the other, and holds one group at a time. So
+    neither rows of one or of null ids nor equal rows, which do share a task, make a group too large.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
-        # a rerun of the task may get its rows in another order
+        held, size, number = [], 0, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            batch, held_bytes = batch.drop_columns("_deal"), 4 * pc.sum(batch.column("length")).as_py()
+            if held and size + held_bytes > group_bytes:
+                out, number = group(held, number)
+                yield from out
+                held, size = [], 0
+            held.append(batch)
+            size += held_bytes
+        if held:
+            yield from group(held, number)[0]
+
+    def group(held: list[pa.RecordBatch], number: int) -> tuple[list[pa.RecordBatch], int]:
+        table = pa.Table.from_batches(held).combine_chunks()
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = table["length"].to_numpy().astype(np.int64)
         bins = best_two_fit(lengths, capacity)
@@ -122,11 +133,14 @@ def packed(cut: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
         before = np.cumsum(lengths) - lengths
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         offset = before - np.repeat(before[first], np.diff(np.append(first, len(bins))))
-        group = TaskContext.get().partitionId()
-        out = table.take(pa.array(order)).append_column("sequence_id", pa.array((group << 40) + bins, pa.int64()))
-        yield from out.append_column("offset", pa.array(offset, pa.int64())).to_batches(max_chunksize=4096)
+        out = table.take(pa.array(order)).append_column("sequence_id", pa.array(number + bins, pa.int64()))
+        out = out.append_column("offset", pa.array(offset, pa.int64())).to_batches(max_chunksize=4096)
+        return out, number + int(bins[-1]) + 1
 
-    return map_arrow(cut.repartition(groups, "doc_id", "piece"), pack, PIECES + ", sequence_id long, offset long")
+    # the hash sorts, so a rerun of the task gets its pieces in the same order, whatever came first
+    deal = F.xxhash64("doc_id", "piece", "ids")
+    dealt = cut.withColumn("_deal", deal).repartition(tasks, "_deal").sortWithinPartitions("_deal", "doc_id", "piece")
+    return map_arrow(dealt, pack, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2,
@@ -137,7 +151,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
     """
     total = docs.select(F.sum(F.octet_length(F.col(text_column).cast("string"))).alias("n")).first()["n"] or 0
     cut = pieces(docs, path or tokens.default_path(), capacity, end_id, id_column, text_column)
-    return packed(cut, max(1, -(-total // GROUP_BYTES)), capacity)
+    return packed(cut, tasks_for(docs.sparkSession, total, GROUP_BYTES), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
