@@ -18,70 +18,84 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlens.llm import tokens
-from starlens.llm.common import map_arrow
+from starlens.llm.common import map_arrow, tasks_for
 
 #: Bytes of text per shard, and ids per block of a shard (a longer document makes a block of its own).
 SHARD_BYTES = 32 << 20
 BLOCK_IDS = 1 << 20
-#: Pairs replaced together in a round, how often one must occur, and the rounds.
-PAIRS, LEAST, ROUNDS = 4096, 16, 8
+#: Pairs replaced together in a round, and how often one must occur: a rule takes three numbers in the file.
+PAIRS, LEAST = 4096, 16
 BUCKETS = 20
 
 BLOCK = ("shard int, block int, low long, high long, n_ids long, base int, doc_ids binary, doc_nulls binary, "
          "doc_sizes binary, doc_symbols binary, rules binary, rule_sizes binary, symbols binary")
 
 
+def _frequent(left: np.ndarray, right: np.ndarray, last: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of at most PAIRS frequent pairs of neighbours in one document, each place's pair by number, and the pairs.
+
+    A bucket of a hash stands for the pair that comes first in it, the others wait for a later round.
+    ``exact`` sorts the pairs of buckets with LEAST and more instead, so none is hidden behind another.
+    """
+    bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
+    bucket[last[:-1]] = 1 << BUCKETS
+    seen = np.bincount(bucket, minlength=(1 << BUCKETS) + 1)
+    seen[-1] = 0
+    if exact:
+        place = np.flatnonzero(seen[bucket] >= LEAST)
+        keys, which, seen = np.unique((left[place].astype(np.uint64) << np.uint64(32)) | right[place], return_inverse=True, return_counts=True)
+    else:
+        place, which = None, bucket
+    chosen = np.flatnonzero(seen >= LEAST)
+    if len(chosen) > PAIRS:
+        chosen = np.sort(chosen[np.argpartition(seen[chosen], -PAIRS)[-PAIRS:]])
+    number = np.full(len(seen), -1, dtype=np.int32)
+    number[chosen] = np.arange(len(chosen))
+    which = number[which]
+    held = np.flatnonzero(which >= 0)
+    which = which[held]
+    if exact:
+        return place[held], which, np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    pairs = np.zeros((len(chosen), 2), np.uint32)
+    firsts, seconds = left[held], right[held]
+    pairs[which[::-1], 0], pairs[which[::-1], 1] = firsts[::-1], seconds[::-1]
+    same = (pairs[which, 0] == firsts) & (pairs[which, 1] == seconds)
+    return held[same], which[same], pairs
+
+
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
-    """Re-Pair of documents that follow each other in ``ids``. Several frequent pairs go in one round."""
+    """Re-Pair of documents that follow each other in ``ids``. Several frequent pairs go in one round; it ends
+    when no pair of neighbours in one document can be replaced LEAST times."""
     base = int(ids.max()) + 1 if len(ids) else 1
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), dtype=bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     rules: list[np.ndarray] = []
     fresh = base
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    exact = False
+    while len(symbols) > 1:
         left, right = symbols[:-1], symbols[1:]
-        bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
-        bucket[last[:-1]] = 1 << BUCKETS
-        seen = np.bincount(bucket, minlength=(1 << BUCKETS) + 1)[:-1]
-        chosen = np.flatnonzero(seen >= LEAST)
-        if len(chosen) > PAIRS:
-            chosen = np.sort(chosen[np.argpartition(seen[chosen], -PAIRS)[-PAIRS:]])
-        number = np.full((1 << BUCKETS) + 1, -1, dtype=np.int32)
-        number[chosen] = np.arange(len(chosen))
-        which = number[bucket]
-        place = np.flatnonzero(which >= 0)
-        if not len(place):
-            break
-        which, firsts, seconds = which[place], left[place], right[place]
-        # a bucket stands for the pair that comes first in it; other pairs in it stay
-        one_left, one_right = np.zeros(len(chosen), np.uint32), np.zeros(len(chosen), np.uint32)
-        one_left[which[::-1]], one_right[which[::-1]] = firsts[::-1], seconds[::-1]
-        same = (one_left[which] == firsts) & (one_right[which] == seconds)
-        place, which = place[same], which[same]
+        place, which, pairs = _frequent(left, right, last, exact)
         # of pairs that share symbols, every second one from the left
         begins = np.diff(place, prepend=-2) != 1
         since = np.arange(len(place)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
         place, which = place[since % 2 == 0], which[since % 2 == 0]
-        used = np.bincount(which, minlength=len(chosen))
-        good = used >= LEAST
+        good = np.bincount(which, minlength=len(pairs)) >= LEAST
         if not good.any():
-            break
+            if exact:
+                break
+            exact = True
+            continue
         place, which = place[good[which]], which[good[which]]
-        new = np.zeros(len(chosen), dtype=np.uint32)
+        new = np.zeros(len(pairs), dtype=np.uint32)
         new[good] = fresh + np.arange(good.sum())
-        rules.append(np.stack([one_left[good], one_right[good]], axis=1))
-        before = len(symbols)
+        rules.append(pairs[good])
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[place + 1] = False
         symbols[place] = new[which]
         last[place] = last[place + 1]
-        keep = np.ones(before, dtype=bool)
-        keep[place + 1] = False
         symbols, last = symbols[keep], last[keep]
         fresh += int(good.sum())
-        if before - len(symbols) < before // 100:
-            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths = np.ones(base + len(table), dtype=np.int64)
     for start, stop in _rounds(rules, base):
@@ -123,7 +137,9 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
                  id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes whole texts (null: empty), puts ``end_id`` behind each, and writes them in ascending id order.
 
-    Null ids come first; rows of one id stay side by side. Other columns are ignored.
+    Null ids come first; rows of one id follow each other by a hash of the text. Shards are cut by both, so
+    rows of one id or of null ids fill several; equal rows share one, whose blocks stay as small as any.
+    Other columns are ignored.
     """
     path = path or tokens.default_path()
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -157,7 +173,8 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
         if held:
             yield block(shard, number, held)
 
-    sorted_docs = docs.repartitionByRange(max(1, -(-total // SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    sorted_docs = docs.repartitionByRange(tasks_for(docs.sparkSession, total, SHARD_BYTES), *order).sortWithinPartitions(*order)
     map_arrow(sorted_docs, encode, BLOCK).write.option("compression", "zstd").parquet(target)
 
 
@@ -188,10 +205,13 @@ def _decode(blocks: DataFrame, wanted: set[int] | None = None) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, target: str) -> DataFrame:
-    """Blocks with ``start``, the ids before them: a running sum over one small row per block."""
+    """Blocks with ``start``, the ids before them: a running sum over one row per shard, then one inside each shard."""
     blocks = spark.read.schema(BLOCK).parquet(target)
-    places = blocks.select("shard", "block", (F.sum("n_ids").over(Window.orderBy("shard", "block")) - F.col("n_ids")).alias("start"))
-    return blocks.join(places, ["shard", "block"])
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
+    places = blocks.select("shard", "block", inside.alias("inside")).join(shards, "shard")
+    return blocks.join(places.select("shard", "block", (F.col("before") + F.col("inside")).alias("start")), ["shard", "block"])
 
 
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:

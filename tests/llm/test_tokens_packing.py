@@ -100,6 +100,24 @@ def test_repeated_rows_are_packed_each(spark, ids):
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("1", len(ids("a b")))] * 2 + [("None", len(ids("c")))]
 
 
+def test_null_and_equal_ids_and_equal_rows_make_no_large_group(spark, ids, monkeypatch):
+    texts = [(None if k % 3 == 0 else 7, f"text {k % 900} of many " * 3) for k in range(1800)] + [(5, "always the same")] * 1000
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    cut = packing.pieces(rows, tokens.default_path(), 64)
+    placed = packing.packed(cut, 4, 64, group_bytes=1 << 14).collect()
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in placed) == sorted((str(i), np.array(ids(t), "<u4").tobytes()) for i, t in texts)
+    by_sequence = {}
+    for r in placed:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for members in by_sequence.values():
+        members.sort()
+        assert [o for o, _ in members] == [sum(n for _, n in members[:k]) for k in range(len(members))] and sum(n for _, n in members) <= 64
+    tasks = {}
+    for r in placed:
+        tasks[r["sequence_id"] >> 40] = tasks.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(tasks) == 4 and max(tasks.values()) < 1000 + 900
+
+
 def test_nothing_packs_to_nothing(none):
     assert packing.pack_documents(none).count() == 0
 
@@ -123,6 +141,26 @@ def test_grammar_round_trip():
             assert len(u4["symbols"]) < len(ids) // 2 or len(set(text)) > 20
 
 
+def test_no_pair_is_left_that_occurs_often(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "BUCKETS", 4)  # nearly every pair hides behind another
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.integers(0, 12, 3000), np.tile(np.arange(20, 60), 16)]).astype(np.uint32)
+    row = tokenfiles.compress(ids, np.array([len(ids)]))
+    symbols = np.frombuffer(row["symbols"], "<u4").tolist()
+    used = {}
+    at = 0
+    for pair in set(zip(symbols, symbols[1:], strict=False)):
+        n = at = 0
+        while at < len(symbols) - 1:
+            hit = (symbols[at], symbols[at + 1]) == pair
+            n, at = n + hit, at + 1 + hit
+        used[pair] = n
+    assert max(used.values()) < tokenfiles.LEAST
+    rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
+    sizes = np.frombuffer(row["rule_sizes"], "<u4").astype(np.int64)
+    assert (tokenfiles.expand(np.array(symbols), row["base"], rules, sizes) == ids).all()
+
+
 def test_files_hold_all_ids_in_order(spark, docs, corpus, ids, monkeypatch):
     monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 4000)
     target = work_path(spark, "tokens")
@@ -139,6 +177,16 @@ def test_files_hold_all_ids_in_order(spark, docs, corpus, ids, monkeypatch):
     assert some == {k: rows[k] for k in (3, 114)}
 
 
+def test_shards_part_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 4000)
+    target = work_path(spark, "tokens")
+    tokenfiles.write_tokens(spark.createDataFrame([(None, f"text {k}") for k in range(3000)], "doc_id long, text string"), target)
+    sizes = [r["n"] for r in spark.read.parquet(target).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
+    starts = sorted((r["start"], r["n_tokens"]) for r in tokenfiles.read_tokens(spark, target).collect())
+    assert len(starts) == 3000 and all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+
+
 def test_files_with_null_ids_repeated_rows_and_nothing(spark, none, ids):
     target = work_path(spark, "tokens")
     tokenfiles.write_tokens(spark.createDataFrame([(None, "a"), (4, "b"), (4, "b"), (2, None)], "doc_id long, text string"), target)
