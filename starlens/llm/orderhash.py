@@ -3,7 +3,8 @@
 K-mers (K code points) are numbered by occurrence, so repeats are different elements. Each of
 SKETCHES sketches selects the LEAST elements of smallest hash, puts them back into text order and
 hashes the tuple: two texts agree in a sketch if they share these k-mers in this order. The elements
-are dealt over the sketches by one hash (one permutation), not hashed anew for each.
+are dealt over the sketches by one hash (one permutation); a sketch that gets fewer than LEAST of them
+so draws from all elements, hashed anew for it, since a single k-mer carries no order.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, sketches: int = SKETCHES, least: int = LEAST) -> np.ndarray:
-    """A 32-bit hash per sketch, 0 where no element fell into it."""
+    """A 32-bit hash per sketch, 0 only for a text without elements."""
     total = np.zeros(sketches, dtype=np.uint64)
     if not len(hashes):
         return total.astype(np.uint32)
@@ -76,6 +77,13 @@ def signature(hashes: np.ndarray, sketches: int = SKETCHES, least: int = LEAST)
     for j in range(least):
         here = at == j
         total[sketch[here]] = mixed(total[sketch[here]] * np.uint64(31) + element[place[here]] + np.uint64(j + 1))
+    lacking = np.flatnonzero(np.bincount(sketch, minlength=sketches) < least)
+    if len(lacking):  # in texts of some hundred characters; a long one misses no sketch
+        again = mixed(element + (lacking.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0xA24BAED4963EE407))
+        drawn = np.sort(np.argsort(again, axis=1, kind="stable")[:, :least], axis=1)
+        total[lacking] = 0
+        for j in range(drawn.shape[1]):
+            total[lacking] = mixed(total[lacking] * np.uint64(31) + element[drawn[:, j]] + np.uint64(j + 1))
     return np.where(total > 0, np.maximum(total >> np.uint64(32), np.uint64(1)), np.uint64(0)).astype(np.uint32)
 
 

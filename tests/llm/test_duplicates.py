@@ -105,8 +105,12 @@ def test_next_documents_and_edited_texts(docs, corpus, monkeypatch):
 
 
 def test_order_minhash_by_definition():
-    """Elements are numbered k-mers; a sketch keeps the least LEAST of its own, in text order."""
-    text = "abcabcabcabcxyzabcabc" * 9
+    """Elements are numbered k-mers; a sketch keeps the least LEAST of its own, in text order, or draws from all if it has fewer."""
+    for text in ("abcabcabcabcxyzabcabc" * 9, "a short text of some forty characters ...", "abcabcabcabcabcab", "ab", "".join(chr(97 + k % 23) + str(k) for k in range(60))):
+        check_signature(text)
+
+
+def check_signature(text):
     hashes = orderhash.kmers(orderhash.code_points(text))
     seen, elements = {}, []
     for h in hashes.tolist():
@@ -117,6 +121,9 @@ def test_order_minhash_by_definition():
     want = []
     for s in range(orderhash.SKETCHES):
         own = sorted((e, i) for i, e in enumerate(elements) if e % orderhash.SKETCHES == s)[:orderhash.LEAST]
+        if len(own) < orderhash.LEAST:
+            salt = np.uint64((s + 1) * 0xA24BAED4963EE407 % 2 ** 64)
+            own = sorted((int(orderhash.mixed(np.array([e], np.uint64) + salt)[0]), i) for i, e in enumerate(elements))[:orderhash.LEAST]
         total = np.zeros(1, np.uint64)
         for j, (_, i) in enumerate(sorted(own, key=lambda x: x[1])):
             total = orderhash.mixed(total * np.uint64(31) + np.uint64(elements[i]) + np.uint64(j + 1))
@@ -124,6 +131,22 @@ def test_order_minhash_by_definition():
     assert orderhash.signature(hashes).tolist() == want
 
 
+def test_short_texts_with_swapped_halves_are_unlike():
+    """A sketch of a single k-mer carries no order; sketches that would hold one draw from all."""
+    import random
+
+    rng = random.Random(8)
+    for size in (40, 70, 100, 150):
+        alike, edited = [], []
+        for _ in range(60):
+            text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+            half, at = size // 2, rng.randrange(size - 1)
+            a, b, c = (orderhash.signature(orderhash.kmers(orderhash.code_points(t))) for t in (text, text[half:] + text[:half], text[:at] + "#" + text[at + 1:]))
+            alike.append(orderhash.likeness(a, b))
+            edited.append(orderhash.likeness(a, c))
+        assert np.mean(alike) < 0.42 and np.mean(edited) > np.mean(alike), (size, np.mean(alike), np.mean(edited))
+
+
 def test_likeness_follows_edits(spark, none):
     import random
 
