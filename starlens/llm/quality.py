@@ -22,10 +22,11 @@ from starlens.session import checkpointed
 WINDOW = 8
 ITERATIONS = 25
 #: Start values: the share of good texts, and how often a rule is right on good and on bad ones.
-FIRST_PRIOR, FIRST_GOOD, FIRST_BAD = 0.8, 0.95, 0.5
-#: How far they can go. Rules are set so that few good texts break one, and a bad vote is likelier on
-#: a bad text; without such bounds a kind of bad text that breaks one rule only looks like its mistakes.
-GOOD_RANGE, BAD_LEAST = (0.985, 0.999), 0.02
+FIRST_PRIOR, FIRST_GOOD, FIRST_BAD = 0.8, 0.99, 0.5
+#: Beta priors (mean, weight in parts of the rows) of the share of good texts and of being right on good and on bad
+#: ones. Rules are set so that few good texts break one: without such a belief a kind of bad text that breaks one rule
+#: only looks like that rule's mistakes. Weights grow with the table, so estimates are alike at every size.
+SHARE_BELIEF, GOOD_BELIEF, BAD_BELIEF = (0.9, 0.1), (0.995, 1.0), (0.2, 0.01)
 
 
 @dataclass(frozen=True)
@@ -110,12 +111,18 @@ def posterior(names: list[str], prior: float, good: dict[str, float], bad: dict[
     return 1 / (1 + F.exp(-score))
 
 
+def believed(hits: float, tries: float, rows: int, belief: tuple[float, float]) -> float:
+    """A share seen in the votes, drawn towards its prior's mean."""
+    mean, weight = belief
+    return (hits + weight * rows * mean) / (tries + weight * rows)
+
+
 def learn(voted: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tuple[float, dict[str, float], dict[str, float]]:
     """Prior and accuracies by expectation maximisation over the vote patterns.
 
     There are at most 3 ** rules patterns, whatever the input; a round is one small aggregation
-    over them, and only the estimates come back. A pseudo-vote each way smooths. No rows leave
-    the start values.
+    over them, and only the estimates come back: the likeliest ones, given votes and priors.
+    No rows leave the start values.
     """
     patterns = checkpointed(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
     prior, good, bad = FIRST_PRIOR, dict.fromkeys(names, FIRST_GOOD), dict.fromkeys(names, FIRST_BAD)
@@ -130,9 +137,9 @@ def learn(voted: DataFrame, names: list[str], iterations: int = ITERATIONS) -> t
         row = patterns.withColumn("p", posterior(names, prior, good, bad)).agg(*sums).first()
         if not row["n"]:
             break
-        prior = (row["p"] + 1) / (row["n"] + 2)
-        good = {r: min(GOOD_RANGE[1], max(GOOD_RANGE[0], (row[f"good_{r}"] + 1) / (row[f"all_good_{r}"] + 2))) for r in names}
-        bad = {r: max(BAD_LEAST, 1 - good[r], (row[f"bad_{r}"] + 1) / (row[f"all_bad_{r}"] + 2)) for r in names}
+        prior = believed(row["p"], row["n"], row["n"], SHARE_BELIEF)
+        good = {r: believed(row[f"good_{r}"], row[f"all_good_{r}"], row["n"], GOOD_BELIEF) for r in names}
+        bad = {r: believed(row[f"bad_{r}"], row[f"all_bad_{r}"], row["n"], BAD_BELIEF) for r in names}
     return prior, good, bad
 
 
@@ -159,12 +166,14 @@ def rules_sql(rules: list[Rule] = RULES, iterations: int = ITERATIONS) -> str:
     p = f"(1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds}))))"
     chain = [f"e0 AS MATERIALIZED (SELECT {FIRST_PRIOR}::DOUBLE AS prior, " + ", ".join(f"{FIRST_GOOD}::DOUBLE AS g_{r.name}, {FIRST_BAD}::DOUBLE AS b_{r.name}" for r in rules) + ")"]
     for i in range(iterations):
-        def share(r: Rule, vote: int, weight: str) -> str:
-            return f"(coalesce(sum(CASE v_{r.name} WHEN {vote} THEN {weight} ELSE 0 END * n), 0) + 1) / (coalesce(sum(abs(v_{r.name}) * {weight} * n), 0) + 2)"
+        def share(hits: str, tries: str, belief: tuple[float, float]) -> str:
+            return f"((sum({hits} * n) + sum(n) * {belief[1]}::DOUBLE * {belief[0]}::DOUBLE) / (sum({tries} * n) + sum(n) * {belief[1]}::DOUBLE))"
+
+        def right(r: Rule, vote: int, weight: str, belief: tuple[float, float]) -> str:
+            return share(f"CASE v_{r.name} WHEN {vote} THEN {weight} ELSE 0 END", f"abs(v_{r.name}) * {weight}", belief)
 
-        goods = ", ".join(f"least({GOOD_RANGE[1]}, greatest({GOOD_RANGE[0]}, {share(r, 1, 'p')}))::DOUBLE AS g_{r.name}, {share(r, -1, '(1 - p)')} AS raw_{r.name}" for r in rules)
-        bads = ", ".join(f"g_{r.name}, greatest({BAD_LEAST}, 1 - g_{r.name}, raw_{r.name})::DOUBLE AS b_{r.name}" for r in rules)
-        chain.append(f"e{i + 1} AS MATERIALIZED (SELECT prior, {bads} FROM (SELECT (sum(p * n) + 1) / (sum(n) + 2) AS prior, {goods} FROM (SELECT *, {p} AS p FROM patterns, e{i})))")
+        new = ", ".join(f"{right(r, 1, 'p', GOOD_BELIEF)} AS g_{r.name}, {right(r, -1, '(1 - p)', BAD_BELIEF)} AS b_{r.name}" for r in rules)
+        chain.append(f"e{i + 1} AS MATERIALIZED (SELECT {share('p', '1', SHARE_BELIEF)} AS prior, {new} FROM (SELECT *, {p} AS p FROM patterns, e{i}))")
     names = ", ".join(f"v_{r.name}" for r in rules)
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
     w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,

@@ -43,6 +43,16 @@ def test_verdicts_agree_with_labels(spark):
     fine = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
     assert sum(not r["kept"] for r in junk) >= 0.95 * len(junk)
     assert sum(r["kept"] for r in fine) >= 0.98 * len(fine)
+    # the estimates follow the labels, and none ends at a bound
+    names = [f"vote_{r.name}" for r in quality.RULES]
+    voted = quality.judge(documents(spark, SF)).where("not base_failed")
+    prior, good, bad = quality.learn(voted, names)
+    assert 0.8 < prior < 0.95
+    seen = voted.join(labels.where("quality = 1"), "doc_id").collect()
+    for n in names:
+        votes = [r[n] for r in seen if r[n]]
+        assert abs(good[n] - sum(v == 1 for v in votes) / len(votes)) < 0.015, (n, good[n])
+        assert 0 < bad[n] < 1 and 1 - good[n] < bad[n], (n, good[n], bad[n])
 
 
 def test_odd_tables_are_judged(spark, none):
