@@ -31,21 +31,20 @@ BLOCK = ("shard int, block int, low long, high long, n_ids long, base int, doc_i
          "doc_sizes binary, doc_symbols binary, rules binary, rule_sizes binary, symbols binary")
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, last: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of at most PAIRS frequent pairs of neighbours in one document, each place's pair by number, and the pairs.
+def _frequent(left: np.ndarray, right: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of neighbours: which may occur LEAST times, the places among these of the at most PAIRS most
+    frequent ones, each place's pair by number, and the pairs.
 
     A bucket of a hash stands for the pair that comes first in it, the others wait for a later round.
     ``exact`` sorts the pairs of buckets with LEAST and more instead, so none is hidden behind another.
     """
-    bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
-    bucket[last[:-1]] = 1 << BUCKETS
-    seen = np.bincount(bucket, minlength=(1 << BUCKETS) + 1)
-    seen[-1] = 0
+    bits = min(BUCKETS, len(left).bit_length() + 1)
+    bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int64)
+    seen = np.bincount(bucket, minlength=1 << bits)
+    often = seen[bucket] >= LEAST
+    left, right, which = left[often], right[often], bucket[often]
     if exact:
-        place = np.flatnonzero(seen[bucket] >= LEAST)
-        keys, which, seen = np.unique((left[place].astype(np.uint64) << np.uint64(32)) | right[place], return_inverse=True, return_counts=True)
-    else:
-        place, which = None, bucket
+        keys, which, seen = np.unique((left.astype(np.uint64) << np.uint64(32)) | right, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(seen >= LEAST)
     if len(chosen) > PAIRS:
         chosen = np.sort(chosen[np.argpartition(seen[chosen], -PAIRS)[-PAIRS:]])
@@ -54,13 +53,13 @@ def _frequent(left: np.ndarray, right: np.ndarray, last: np.ndarray, exact: bool
     which = number[which]
     held = np.flatnonzero(which >= 0)
     which = which[held]
-    if exact:
-        return place[held], which, np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    pairs = np.zeros((len(chosen), 2), np.uint32)
     firsts, seconds = left[held], right[held]
+    pairs = np.zeros((len(chosen), 2), np.uint32)
     pairs[which[::-1], 0], pairs[which[::-1], 1] = firsts[::-1], seconds[::-1]
-    same = (pairs[which, 0] == firsts) & (pairs[which, 1] == seconds)
-    return held[same], which[same], pairs
+    if not exact:
+        same = (pairs[which, 0] == firsts) & (pairs[which, 1] == seconds)
+        held, which = held[same], which[same]
+    return often, held, which, pairs
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
@@ -72,10 +71,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     rules: list[np.ndarray] = []
     fresh = base
-    exact = False
-    while len(symbols) > 1:
-        left, right = symbols[:-1], symbols[1:]
-        place, which, pairs = _frequent(left, right, last, exact)
+    # pairs of symbols that were there before only become rarer: once rare, a place is looked at again beside a new symbol only
+    alive, exact = ~last, False
+    while True:
+        place = np.flatnonzero(alive)
+        often, held, which, pairs = _frequent(symbols[place], symbols[place + 1], exact)
+        alive[place[~often]] = False
+        place = place[often][held]
         # of pairs that share symbols, every second one from the left
         begins = np.diff(place, prepend=-2) != 1
         since = np.arange(len(place)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
@@ -94,8 +96,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict:
         keep[place + 1] = False
         symbols[place] = new[which]
         last[place] = last[place + 1]
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, alive = symbols[keep], last[keep], alive[keep]
         fresh += int(good.sum())
+        # each place moves left by the places before it
+        place = place - np.arange(len(place))
+        alive[place] = ~last[place]
+        before = place[place > 0] - 1
+        alive[before] = ~last[before]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths = np.ones(base + len(table), dtype=np.int64)
     for start, stop in _rounds(rules, base):
