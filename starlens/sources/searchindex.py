@@ -8,11 +8,17 @@ Queries of under three characters, and those with more than FILES candidate file
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from starlens.functions import text as tx
+from starlens.session import map_arrow
 from starlens.sources import versioned as V
 
 BLOCK = 256
@@ -29,6 +35,41 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(THREE), F.lit(1)))
 
 
+def listed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, file, blocks) of batches of lower-cased texts with their places: a row per triple of a batch's
+    file, not one per review that has it."""
+    for batch in batches:
+        text, file, block = batch.column("text").cast(pa.large_string()), batch.column("file"), batch.column("block").to_numpy()
+        name = file.dictionary_encode()
+        names = name.indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(names) != 0)) + 1
+        runs = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True)) if len(batch) else []
+        for number in range(len(name.dictionary)):
+            mine = [(a, b) for a, b in runs if names[a] == number]
+            codes = [_codes(text.slice(a, b - a)) for a, b in mine]
+            at = np.repeat(np.array([block[a] for a, _ in mine]), [len(c) for c in codes])
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], at[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            points = np.stack([code[first] >> 42, (code[first] >> 21) & 0x1FFFFF, code[first] & 0x1FFFFF], axis=1).astype("<u4")
+            word = points.tobytes().decode("utf-32-le")
+            gram = pa.array([word[i:i + 3] for i in range(0, len(word), 3)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(at, pa.int64()))
+            yield pa.record_batch({"gram": gram, "file": pa.array([name.dictionary[number].as_py()] * len(gram), pa.string()), "blocks": lists})
+
+
+def _codes(texts: pa.Array) -> np.ndarray:
+    """The different triples of the texts of a block, 21 bits a code point."""
+    # two more characters end each text; a triple that has one of them goes
+    points = np.frombuffer("".join(t + "\0\0" for t in texts.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    ends = np.cumsum(pc.add(pc.utf8_length(texts), 2).to_numpy())
+    mark = np.zeros(len(points), dtype=bool)
+    mark[ends - 1] = mark[ends - 2] = True
+    triples = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    return np.unique(triples[~(mark[:-2] | mark[1:-1] | mark[2:])])
+
+
 def grams_of(query: str) -> list[str]:
     return sorted({query[i:i + 3] for i in range(len(query) - 2)})
 
@@ -54,9 +95,10 @@ def add(rows: DataFrame, folder: str, text_column: str = "Review_Text", writer:
         return False
     part = V.write_part(rows, folder, ROWS)
     stored = _opened(spark, folder, rows.schema, [f"{V.PART}={part['name']}"])
-    # a file's list of a triple has one entry per block
-    lists = stored.select(F.explode(grams(F.col(text_column))).alias("gram"), *_place()).distinct() \
-        .groupBy("gram", "file").agg(F.sort_array(F.collect_list("block")).alias("blocks")).withColumn("bucket", _bucket(F.col("gram")))
+    found = map_arrow(stored.where(F.col(text_column).isNotNull()).select(F.lower(text_column).alias("text"), *_place()), listed_grams,
+                      "gram string, file string, blocks array<bigint>")
+    # a file's list of a triple has one entry per block, even of one that was cut between tasks
+    lists = found.groupBy("gram", "file").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks")).withColumn("bucket", _bucket(F.col("gram")))
     listed = V.write_part(lists.repartition("bucket").sortWithinPartitions("bucket", "gram"), folder, LISTS, ["bucket"])
     V.add(spark, folder, state, [part, listed], writer, batch)
     return True
