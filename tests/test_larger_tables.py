@@ -97,3 +97,19 @@ def test_ingest_keeps_no_copy_of_its_batches(spark, tmp_path):
         J.ingest_exact(J.raw_stream(spark, str(tmp_path / "feed")), str(tmp_path / "t"), str(tmp_path / "log"))
     assert J.read_batches(spark, str(tmp_path / "t") + "/reviews", J.REVIEWS).count() == 20
     assert set(glob.glob(_work_folder(spark).removeprefix("file:") + "/batch-*")) == before
+
+
+def test_polarity_and_word_count_run_in_batches(spark):
+    rows = spark.createDataFrame([("very good  bad",), (None,), ("",), ("VERY",), ("good x\u0085y z",), ("GOODİ Kind",)], "t string")
+    got = rows.select(tx.polarity(F.col("t")).alias("p"), tx.word_count(F.col("t")).alias("n"))
+    assert [(round(r["p"], 4), r["n"]) for r in got.collect()] == [(0.105, 3), (0.0, 0), (0.0, 0), (0.0, 1), (0.7, 4), (0.0, 2)]
+    plan = got._jdf.queryExecution().toString().lower()
+    assert "regexp_count" not in plan and "split(" not in plan and "lambda" not in plan
+    assert not got.schema["p"].nullable and not got.schema["n"].nullable
+
+
+def test_scores_follow_the_first_list_and_stay_in_their_text():
+    texts = pa.array(["really", "meh meh", None, "nice meh"])
+    assert words.mean_scores(texts, {"meh": -0.5, "nice": 1.0}, {"really": 2.0, "meh": 3.0}).tolist() == [0.0, -1.0, 0.0, 0.25]
+    assert tx._values({0.5: ["a", "b"], -0.5: ["b"]}) == {"a": 0.5, "b": 0.5}
+    assert words.word_counts(pa.array([], pa.string())).tolist() == [] and words.mean_scores(pa.array([None], pa.string()), {}, {}).tolist() == [0.0]
