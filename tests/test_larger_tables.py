@@ -1,5 +1,6 @@
 """What a larger table asks of the steps that many queries share."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -113,3 +114,21 @@ def test_scores_follow_the_first_list_and_stay_in_their_text():
     assert words.mean_scores(texts, {"meh": -0.5, "nice": 1.0}, {"really": 2.0, "meh": 3.0}).tolist() == [0.0, -1.0, 0.0, 0.25]
     assert tx._values({0.5: ["a", "b"], -0.5: ["b"]}) == {"a": 0.5, "b": 0.5}
     assert words.word_counts(pa.array([], pa.string())).tolist() == [] and words.mean_scores(pa.array([None], pa.string()), {}, {}).tolist() == [0.0]
+
+
+def test_a_task_sends_a_word_once(spark):
+    part = pa.record_batch({"App": ["a", None, "a"], "word": ["x", "x", "y"], "n": pa.array([1, 2, 3], pa.int64())})
+    once = [r for x in words.added_up(iter([part] * 5)) for r in x.to_pylist()]
+    assert sorted(map(str, once)) == sorted(map(str, [{"App": "a", "word": "x", "n": 5}, {"App": None, "word": "x", "n": 10}, {"App": "a", "word": "y", "n": 15}]))
+    assert sum(r["n"] for x in words.added_up(iter([part] * 5), held_bytes=1) for r in x.to_pylist()) == 30
+    assert list(words.added_up(iter([]))) == []
+    groups, word, n = words.counted(pa.array(["abcd abc abcde", "abcd", None]), np.array([0, 1, 1]), 4, ["abcde"])
+    assert (groups.tolist(), word.to_pylist(), n.tolist()) == ([0, 1], ["abcd", "abcd"], [1, 1])
+    assert words.counted(pa.array([None], pa.string()), np.array([0]), 4, [])[1].to_pylist() == []
+
+
+def test_exact_cloud_counts_no_products(spark):
+    rows = _reviews(spark, [("a", None, 5, None, "hello"), ("b", None, 5, None, "hello world"), (None, None, 1, None, "hello")])
+    cloud = K.exact_cloud(rows)
+    assert sorted((r["polarity"], r["word"], r["n"]) for r in cloud.collect()) == [("negative", "hello", 1), ("positive", "hello", 2), ("positive", "world", 1)]
+    assert "App" not in cloud._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
