@@ -132,3 +132,19 @@ def test_exact_cloud_counts_no_products(spark):
     cloud = K.exact_cloud(rows)
     assert sorted((r["polarity"], r["word"], r["n"]) for r in cloud.collect()) == [("negative", "hello", 1), ("positive", "hello", 2), ("positive", "world", 1)]
     assert "App" not in cloud._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_dedup_sorts_and_shuffles_no_text(spark, monkeypatch):
+    from starlens.operators import duplicates as U
+
+    rows = spark.range(70_000).repartition(3).select(
+        F.lit("a").alias("App"), F.col("id").cast("string").alias("review_id"), F.timestamp_seconds("id").alias("Review_Date"),
+        F.when(F.col("id") % 50 != 0, F.concat(F.lit("t"), (F.col("id") % 40_000).cast("string"))).alias("Review_Text"))
+    want = {str(i) for i in range(70_000) if i % 50 and (i >= 30_000)} | {"69950"}
+    for most in (U.BLOCKS, 0):
+        monkeypatch.setattr(U, "BLOCKS", most)
+        kept = U.dedup_keep_last(rows)
+        got = [r["review_id"] for r in kept.collect()]
+        assert len(got) == len(want) and set(got) == want and kept.columns == rows.columns
+        plan = kept._jdf.queryExecution().toString()
+        assert "Window" not in plan and ("strategy=broadcast" in plan) == bool(most)
