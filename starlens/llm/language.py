@@ -28,7 +28,7 @@ SWITCH, TRUST = 6.0, 0.5
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
 #: Letters taken at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 # Ranges of code points, in order, and the scripts they belong to.
 SCRIPT_RANGES = [
@@ -47,14 +47,14 @@ SCRIPTS = ["", *sorted({name for _, _, name in SCRIPT_RANGES})]
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its script (-1: no letter, 0: a letter of no listed script) and its lower case."""
-    every = [chr(i) for i in range(sys.maxunicode + 1)]
-    script = np.where(np.fromiter(map(str.isalpha, every), dtype=bool, count=len(every)), 0, -1).astype(np.int8)
-    letter = script == 0
+    n = sys.maxunicode + 1
+    letter = np.fromiter((chr(i).isalpha() for i in range(n)), dtype=bool, count=n)  # never all characters at a time
+    script = np.where(letter, 0, -1).astype(np.int8)
     for low, high, name in SCRIPT_RANGES:
         script[low:high + 1][letter[low:high + 1]] = SCRIPTS.index(name)
-    lower = np.arange(len(every), dtype=np.uint32)
+    lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(letter).tolist():
-        if len(x := every[i].lower()) == 1:
+        if len(x := chr(i).lower()) == 1:
             lower[i] = ord(x)
     return script, lower
 

@@ -159,3 +159,15 @@ def test_without_labelled_rows_all_texts_with_letters_stay(spark):
     model = language.train(docs)
     assert {r["doc_id"] for r in language.recognised(docs, model).collect()} == {1, 4}
     assert language.recognised(docs.limit(0), model).count() == 0
+
+
+def test_character_tables_take_little_memory():
+    import tracemalloc
+
+    language.tables.cache_clear()
+    tracemalloc.start()
+    script, lower = language.tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32_000_000  # all characters as strings took over 80 MB in every worker
+    assert script[ord("1")] == -1 and script[ord("é")] == language.SCRIPTS.index("Latin") and lower[ord("É")] == ord("é")
