@@ -26,6 +26,8 @@ BLOCK_IDS = 1 << 20
 #: Pairs replaced together in a round, and how often one must occur: a rule takes three numbers in the file.
 PAIRS, LEAST = 4096, 16
 BUCKETS = 20
+#: Places of at most so many blocks are broadcast, some 10 MB.
+SENT_BLOCKS = 100_000
 
 BLOCK = ("shard int, block int, low long, high long, n_ids long, base int, doc_ids binary, doc_nulls binary, "
          "doc_sizes binary, doc_symbols binary, rules binary, rule_sizes binary, symbols binary")
@@ -218,7 +220,9 @@ def _blocks(spark: SparkSession, target: str) -> DataFrame:
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
     places = blocks.select("shard", "block", inside.alias("inside")).join(shards, "shard")
-    return blocks.join(places.select("shard", "block", (F.col("before") + F.col("inside")).alias("start")), ["shard", "block"])
+    starts = places.select("shard", "block", (F.col("before") + F.col("inside")).alias("start"))
+    # three numbers a block: sent to the blocks, unless there are very many, so that the blocks stay where they are read
+    return blocks.join(F.broadcast(starts) if blocks.count() <= SENT_BLOCKS else starts, ["shard", "block"])
 
 
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHED_PARTS = 400_000
+#: Parts in one text handed to the tokenizer, and in one call: what it returns takes much more room than the ids.
+ROW_PARTS, CALL_PARTS = 256, 4096
 #: Bytes of text encoded at a time (a longer text alone).
 SLICE_BYTES = 4 << 20
 #: Texts with a space next to other white space are cut by the slower rule.
@@ -36,32 +38,54 @@ class Encoder:
         space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.spaced = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in tokens.items() if token.startswith(space)]] = True
+        #: The ids of words behind a space, and of other parts.
+        self.after: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def ids_of(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part; parts not in the cache are encoded many to a call."""
-        found = list(map(self.cache.get, parts))
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each word, which holds none; words not in the cache are encoded many to a call."""
+        found = list(map(self.after.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        # a part of a space and visible text can stand in a row with others of its kind
-        plain = [i for i in missing if len(p := parts[i]) > 1 and p[0] == " " and p.count(" ") == 1 and not (p[1].isspace() or p[-1].isspace())]
-        rows = [plain[k:k + 64] for k in range(0, len(plain), 64)]
-        encoded = self.tokenizer.encode_batch_fast(["".join(parts[i] for i in row) for row in rows], add_special_tokens=False)
-        ids = np.array([x for encoding in encoded for x in encoding.ids], dtype="<u4")
-        # the one space of such a part is its first character
-        cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
-        raw = ids.tobytes()
-        for i, begin, end in zip(plain, cuts[:-1], cuts[1:], strict=True):
-            found[i] = raw[begin:end]
+        # a space and visible text can stand in a row with others of its kind
+        plain = [i for i in missing if (w := words[i]) and not (w[0].isspace() or w[-1].isspace())]
+        for k in range(0, len(plain), CALL_PARTS):
+            places = plain[k:k + CALL_PARTS]
+            new = [words[i] for i in places]
+            rows = [" " + " ".join(new[j:j + ROW_PARTS]) for j in range(0, len(new), ROW_PARTS)]
+            encoded = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in encoded])
+            # the one space of such a part is its first character
+            cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            raw = ids.tobytes()
+            for i, begin, end in zip(places, cuts[:-1], cuts[1:], strict=True):
+                found[i] = raw[begin:end]
         for i in missing:
             if found[i] is None:
-                found[i] = self.whole(parts[i])
-        room = CACHED_PARTS - len(self.cache)
-        self.cache.update((parts[i], found[i]) for i in missing[:max(0, room)])
+                found[i] = self.whole(" " + words[i])
+        self.after.update((words[i], found[i]) for i in missing[:self.room()])
         return found
 
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part."""
+        out = []
+        for part in parts:
+            if part[:1] == " " and part.count(" ") == 1:
+                out += self.after_space([part[1:]])
+                continue
+            ids = self.cache.get(part)
+            if ids is None:
+                ids = self.whole(part)
+                if self.room():
+                    self.cache[part] = ids
+            out.append(ids)
+        return out
+
+    def room(self) -> int:
+        return max(0, CACHED_PARTS - len(self.after) - len(self.cache))
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, NEAR_SPACES).to_numpy(zero_copy_only=False)
         words = pc.split_pattern(texts, " ")
@@ -69,12 +93,12 @@ class Encoder:
         at -= at[0]
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        dictionary = coded.dictionary.to_pylist()
+        dictionary = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         n = len(dictionary)
         first = at[:-1][np.diff(at) > 0]
         heads, place = np.unique(codes[first], return_inverse=True)
         codes[first] = n + place
-        table = self.ids_of([" " + w for w in dictionary] + [dictionary[i] for i in heads])
+        table = self.after_space(dictionary) + self.ids_of([dictionary[i] for i in heads])
         added = np.zeros(len(odd), dtype=bool)
         for token in self.added:
             added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
@@ -87,7 +111,7 @@ class Encoder:
             codes[at[rows]] = n + len(heads) + np.arange(len(rows))
             at = np.concatenate([[0], np.cumsum(keep)])[at]
             codes = codes[keep]
-        sizes = np.array([len(x) for x in table], dtype=np.int64) // 4
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
         ids = np.frombuffer(b"".join(table), dtype="<u4")
         begin = np.cumsum(sizes) - sizes
         lengths = sizes[codes]
@@ -108,6 +132,7 @@ class Encoder:
             before = total[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(total, before + SLICE_BYTES, side="right")))
             ids, edges = self._slice(texts.slice(begin, end - begin))
+            pa.default_memory_pool().release_unused()  # what a slice left would stay with the worker
             yield begin, ids, edges
             begin = end
 

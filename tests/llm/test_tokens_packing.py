@@ -195,3 +195,21 @@ def test_files_with_null_ids_repeated_rows_and_nothing(spark, none, ids):
     empty = work_path(spark, "tokens")
     tokenfiles.write_tokens(none, empty)
     assert tokenfiles.read_tokens(spark, empty).count() == 0
+
+
+def test_blocks_get_their_places_without_a_shuffle_of_their_own(spark, monkeypatch):
+    target = work_path(spark, "placed")
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(50)], "doc_id long, text string")
+    tokenfiles.write_tokens(docs, target)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        blocks = tokenfiles._blocks(spark, target)
+        plan = blocks._jdf.queryExecution().sparkPlan().toString()
+        sent = tokenfiles.read_tokens(spark, target).orderBy("doc_id").collect()
+        monkeypatch.setattr(tokenfiles, "SENT_BLOCKS", 0)
+        joined = tokenfiles.read_tokens(spark, target).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "BroadcastHashJoin [shard" in plan and len(sent) == 50 and sent == joined
