@@ -7,7 +7,7 @@ from pyspark.sql.types import StructField, StructType
 
 from starlens import schema as S
 from starlens.functions import text as tx, words
-from starlens.operators import classify as C, cube as B, keywords as K
+from starlens.operators import classify as C, cube as B, duplicates as U, keywords as K
 from starlens.sources import reviews as R, searchindex as Z, versioned as V
 from starlens.streaming import jobs as J
 
@@ -59,6 +59,32 @@ def test_csv_is_written_as_several_files(spark, tmp_path, monkeypatch):
     assert R.scan_reviews_csv(spark, str(tmp_path / "csv"), schema).where(F.col("App") == 'a "b"\nc').count() == 100
 
 
+def test_csv_may_be_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "CSV_ROWS", 30)
+    rows = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("review_id"), F.lit('a "b"\nc').alias("App"))
+    R.write_reviews_csv(rows, str(tmp_path / "csv"), "gzip")
+    assert len(list((tmp_path / "csv").glob("*.csv.gz"))) == 4
+    schema = StructType([StructField(f.name, f.dataType) for f in S.REVIEWS][:2])
+    assert sorted(R.scan_reviews_csv(spark, str(tmp_path / "csv"), schema).select("review_id", "App").collect()) == sorted(rows.collect())
+
+
+def test_scan_of_reviews_lands_compressed_files(spark, sf_dir):
+    from starlens.plans.queries import QUERIES
+
+    files = QUERIES["scan_reviews"](spark, sf_dir).inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_no_text_is_shuffled_to_find_duplicate_rows(spark):
+    rows = spark.createDataFrame([("1", "a", None, None, "x"), ("2", "b", None, 5, None), ("3", None, None, None, "x"), ("4", "a", None, 1, "y"),
+                                  ("4", "a", None, 1, None), (None, None, None, None, ""), ("5", "a", None, 1, "")],
+                                 "review_id string, App string, Review_Date timestamp, Star_Rating int, Review_Text string")
+    found = U.duplicate_rows(rows)
+    assert sorted((str(r["review_id"]), str(r["Review_Text"])) for r in found.collect()) == [
+        ("1", "x"), ("2", "None"), ("3", "x"), ("4", "None"), ("5", ""), ("None", "")]
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_lists_a_triple_once_per_block(spark, tmp_path):
     batch = pa.record_batch({"text": ["abcd", "a", "", "zabc", "éñ\U0001F600x", "bcd"], "file": ["f"] * 4 + ["g"] * 2, "block": pa.array([0, 0, 0, 1, 0, 0], pa.int64())})
     got = {(r["gram"], r["file"]): r["blocks"] for part in Z.listed_grams(iter([batch])) for r in part.to_pylist()}
