@@ -198,3 +198,58 @@ def test_daily_parts_stay_few_over_many_batches(spark):
     J.publish_daily(stream, folder, log, fan=3)
     assert {r["day"]: r["n"] for r in J.daily_parts(spark, folder).collect()} == {f"2026-04-{d:02}": 1 for d in range(1, 11)}
     assert len([p for p in V.manifest(spark, folder)["parts"] if p["kind"] == G.PARTS]) <= 4
+
+
+def test_small_index_parts_are_few_files(spark, tmp_path):
+    """A folder per bucket and part made hundreds of files a batch, however few ids came."""
+    path = str(tmp_path / "ids")
+    rows = spark.createDataFrame([(f"id{i}",) for i in range(500)], "review_id string")
+    V.add(spark, path, V.manifest(spark, path), idindex.parts_for(rows, path, 64), "w", 0)
+    files = list((tmp_path / "ids/data").rglob("*.parquet"))
+    assert 2 <= len(files) <= 16 and not list((tmp_path / "ids/data").rglob("bucket=*"))
+    held = V.scan(spark, path, idindex.IDS, idindex.ID_SCHEMA)
+    assert held.exceptAll(idindex.placed(rows, 64).select("review_id", "bucket")).count() == 0 and held.count() == 500
+
+
+def test_an_index_of_folders_is_still_asked(spark):
+    path = work_path(spark, "old_ids")
+    rows = spark.createDataFrame([(f"id{i}",) for i in range(20)], "review_id string")
+    old = [V.write_part(idindex.placed(rows, 4).select("review_id", "bucket"), path, "ids", ["bucket"]),
+           V.write_part(idindex.filter_rows(rows, 4), path, "id_filters", ["bucket"])]
+    V.add(spark, path, V.manifest(spark, path), old, "w", 0)
+    V.add(spark, path, V.manifest(spark, path), idindex.parts_for(spark.createDataFrame([("x",)], "review_id string"), path, 4), "w", 1)
+    asked = spark.createDataFrame([("id3",), ("x",), ("new",)], "review_id string")
+    assert ids(idindex.strangers(asked, spark, path, V.manifest(spark, path), 4)) == ["new"]
+
+
+def test_a_batch_is_judged_in_one_pass(spark, tmp_path):
+    """As ``ingested`` and ``quarantine`` have it; values of lines that are set aside are never cast."""
+    lines = ['{"reviewId":"1","at":"2026-04-01 00:00:00","score":5,"content":"a b","thumbsUpCount":2}', '{"reviewId":"', '{"reviewId":"","at":"x y"}',
+             '{"reviewId":"2","at":"2026-05-01 00:00:00"}', '{"reviewId":"3","at":null,"content":""}', '{"at":"2026-04-01 00:00:00"}']
+    (tmp_path / "App=a").mkdir()
+    (tmp_path / "App=a/f.json").write_text("\n".join(lines) + "\n")
+    raw = S.scan_raw(spark, str(tmp_path)).cache()
+    for window in ((None, None), ("2026-03-31 00:00:00", "2026-04-02 00:00:00")):
+        rows = J.judged(raw, *window)
+        good = J.ingested(raw, *window)
+        assert sorted(map(str, rows.where("reason IS NULL").select(*good.columns).collect())) == sorted(map(str, good.collect()))
+        bad = rows.where("reason IS NOT NULL").select(*(F.col(J.RAW + c).alias(c) for c in raw.columns), "reason")
+        assert sorted(map(str, bad.collect())) == sorted(map(str, J.quarantine(raw).collect())) and bad.count() == 3
+    assert rows.where("reason IS NULL").count() == 1
+
+
+def test_exact_ingest_parses_a_batch_once(spark, tmp_path, monkeypatch):
+    feed, folder, log = (work_path(spark, n) for n in ("once_feed", "once", "once_log"))
+    schema = "App string, reviewId string, `at` string, score int, content string, thumbsUpCount bigint, appVersion string"
+    S.land_raw(spark.createDataFrame([("A", f"i{k % 7}", f"2026-04-0{k % 5 + 1} 10:00:00", k, f"t {k}", 0, None) for k in range(20)], schema), feed)
+    seen = spark.sparkContext.accumulator(0)
+    raw = J.raw_stream(spark, feed)
+    count = F.udf(lambda x: seen.add(1) or x)
+    J.ingest_exact(raw.withColumn("content", count("content")).select(*raw.columns), folder, log)
+    assert seen.value == 20
+    got = sorted((r["review_id"], r["Star_Rating"]) for r in J.read_batches(spark, f"{folder}/reviews", J.REVIEWS).collect())
+    # the newest of an id; of equal dates the least star
+    want = {}
+    for k in range(20):
+        want.setdefault(f"i{k % 7}", []).append((-(k % 5), k))
+    assert got == sorted((i, min(x)[1]) for i, x in want.items())
