@@ -101,6 +101,17 @@ def test_forest_statistics_fit_beside_the_rows(spark, monkeypatch):
     assert asked["maxMemoryInMB"] <= 256
 
 
+def test_forest_keeps_the_nodes_of_its_rows(spark, monkeypatch):
+    """The same trees, without taking all rows down all trees in every pass."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(k % 2, Vectors.dense([k % 4, k % 7, k % 3])) for k in range(80)], ["label", "features"])
+    model = C.fit_forest(rows, trees=3, depth=4)
+    assert model.getCacheNodeIds() and spark.sparkContext.getCheckpointDir()
+    plain = C.RandomForestClassifier(numTrees=3, maxDepth=4, featureSubsetStrategy="sqrt", seed=C.fv.SEED, maxMemoryInMB=256).fit(rows)
+    assert model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
 def test_large_parts_are_not_merged_and_retired_ones_go(spark, tmp_path):
     folder = str(tmp_path / "t")
     for batch in range(2):
